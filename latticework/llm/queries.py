@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, token_count, url_filter
+from . import exact_dedup, mixing, quality, token_count, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,15 +19,28 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filter, op3_token_counts, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_token_counts, op4_quality_rules, op8_exact_dedup, op10_mixing)}
 
 OP1_SQL = r"""
 WITH cut AS (
@@ -68,4 +81,11 @@ SELECT doc_id, size, source_size, target,
 FROM sizes JOIN rates ON sizes.source IS NOT DISTINCT FROM rates.source
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op10_mixing": OP10_SQL}
+OP8_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS n FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY n) AS group_size, doc_id IS NOT DISTINCT FROM first_value(doc_id) OVER w AS kept, sha256(n) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY n ORDER BY length(text) DESC, doc_id NULLS LAST)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op8_exact_dedup": OP8_SQL, "op10_mixing": OP10_SQL}
