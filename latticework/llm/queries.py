@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, quality, token_count, toxicity, url_filter
+from . import exact_dedup, mixing, packing, quality, token_count, toxicity, training_order, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,15 +32,23 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.materialise(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_token_counts, op4_quality_rules, op8_exact_dedup, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_token_counts, op4_quality_rules, op7_training_order, op8_exact_dedup, op9_packing, op10_mixing)}
 
 OP1_SQL = r"""
 WITH cut AS (
