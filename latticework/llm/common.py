@@ -17,14 +17,12 @@ SPACES = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows in an Arrow batch. A batch is the unit that Python holds, so this bounds memory where texts are long.
-BATCH_ROWS = 1000
-BATCH_BYTES = "32m"
+BATCH_ROWS = 256
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Make the session cut Arrow batches by rows and bytes, so that a batch of very long texts stays small."""
+    """Make the session's Arrow batches short, so that a batch of very long texts stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:

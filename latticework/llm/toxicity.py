@@ -28,6 +28,7 @@ MAX_FEATURES = 1500
 COPY = 0.7
 #: A feature's log-likelihood ratio against 'as frequent in either set' is at least this, as very many n-grams are tried.
 SURE = 15.0
+BUCKETS = 1 << 22
 FOLDS, HELD_OUT = 4, 2
 PREDICT_FROM = 0.3
 
@@ -40,50 +41,66 @@ def prepared(text: str) -> str:
 
 
 def grams(line: str) -> set[str]:
-    """Whole words, and all runs of 4 to 6 characters of a word with its marks."""
+    """Whole words, and all runs of 4 and 5 characters of a word with its marks."""
     out: set[str] = set()
     for word in set(line[1:-1].split("><")):
         marked = f"<{word}>"
         out.add(marked)
-        for n in (4, 5, 6):
+        for n in (4, 5):
             out.update(marked[i : i + n] for i in range(len(marked) - n + 1))
     return out
 
 
-def without_copies(rows: list[set[str]], most: float = COPY, size: int = 64) -> list[set[str]]:
-    """Rows unlike all earlier ones, by the overlap of their n-grams with the smallest hashes."""
-    kept: list[tuple[set[int], set[str]]] = []
-    for row in rows:
-        low = set(sorted(map(zlib.crc32, map(str.encode, row)))[:size])
+def without_copies(lines: list[str], most: float = COPY, size: int = 64) -> list[str]:
+    """Texts unlike all earlier ones, by the overlap of their n-grams with the smallest hashes."""
+    kept: list[tuple[set[int], str]] = []
+    for line in lines:
+        low = set(sorted(hashed(line))[:size])
         if all(len(low & other) <= most * len(low) for other, _ in kept):
-            kept.append((low, row))
-    return [row for _, row in kept]
+            kept.append((low, line))
+    return [line for _, line in kept]
 
 
-def pick_features(positive: list[set[str]], unlabelled: list[set[str]], most: int = MAX_FEATURES) -> list[str]:
-    """n-grams that are clearly more frequent among the positives."""
+def hashed(line: str) -> list[int]:
+    """A bucket for each n-gram of a text."""
+    return list({zlib.crc32(g.encode()) % BUCKETS for g in grams(line)})
+
+
+def evidence(a: np.ndarray, b: np.ndarray, n_pos: int, n_unl: int) -> np.ndarray:
+    """Log-likelihood ratio of 'more frequent in the a of n_pos positives than in the b of n_unl others' against 'as frequent'; 0 where it's less than 2.5 times as frequent."""
+    a, b = np.asarray(a, float), np.asarray(b, float)
+    both = (a + b) / (n_pos + n_unl)
+
+    def part(k: np.ndarray, n: int, rate: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(k > 0, k * np.log(k / n / rate), 0.0)
+
+    total = part(a, n_pos, both) + part(b, n_unl, both) + part(n_pos - a, n_pos, 1 - both) + part(n_unl - b, n_unl, 1 - both)
+    return np.where((a >= 3) & (a / n_pos > 2.5 * b / n_unl), total, 0.0)
+
+
+def pick_features(positive: list[str], unlabelled: list[str], most: int = MAX_FEATURES) -> list[str]:
+    """n-grams that are clearly more frequent among the positives. They are counted in buckets first, so that memory doesn't grow with the texts."""
     positive = without_copies(positive)
-    p = Counter(g for x in positive for g in x)
     n_pos, n_unl = len(positive), len(unlabelled)
-    candidates = {g for g, n in p.items() if n >= 3}
-    u = Counter()
+    counts = np.zeros((2, BUCKETS), np.int32)
+    for row, lines in zip(counts, (positive, unlabelled), strict=True):
+        for line in lines:
+            row[hashed(line)] += 1
+    often = np.flatnonzero(counts[0] >= 3)
+    sure = np.zeros(BUCKETS, bool)
+    sure[often] = evidence(*counts[:, often], n_pos, n_unl) >= SURE
+    p = Counter(g for x in positive for g in grams(x) if sure[zlib.crc32(g.encode()) % BUCKETS])
+    names = sorted(p)
+    u: Counter[str] = Counter()
     for x in unlabelled:
-        u.update(x & candidates)
-    scored = []
-    for g in candidates:
-        a, b = p[g], u[g]
-        both = (a + b) / (n_pos + n_unl)
-        if a / n_pos > 2.5 * b / n_unl:
-            sure = a * np.log(a / n_pos / both) + (b * np.log(b / n_unl / both) if b else 0.0)
-            rest = (n_pos - a) * np.log((1 - a / n_pos) / (1 - both)) if a < n_pos else 0.0
-            sure += rest + ((n_unl - b) * np.log((1 - b / n_unl) / (1 - both)) if b < n_unl else 0.0)
-            if sure >= SURE:
-                scored.append((sure, g))
-    return [g for _, g in sorted(scored, key=lambda x: (-x[0], x[1]))[:most]]
+        u.update(p.keys() & grams(x))
+    score = evidence(np.array([p[g] for g in names]), np.array([u[g] for g in names]), n_pos, n_unl)
+    return [names[i] for i in np.argsort(-score, kind="stable")[:most] if score[i] >= SURE]
 
 
 def fit_nnpu(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.05, penalty: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Weights by full-batch Adam on the non-negative risk with the logistic loss; the bias is then moved half way to where
+    """Weights by full-batch Adam on the non-negative risk with the logistic loss; the bias is then moved some way to where
     the mean probability over the unlabelled texts is the prior: with few positives the risk's own is too high, as it can't tell noise from signs."""
     w, b = np.zeros(x_pos.shape[1]), float(np.log(prior / (1 - prior)))
     m = v = np.zeros(len(w) + 1)
@@ -106,7 +123,7 @@ def fit_nnpu(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, rounds: int = 4
     for _ in range(60):
         b = (low + high) / 2
         low, high = (b, high) if sigma(z + b).mean() < prior else (low, b)
-    return w, (own + b) / 2
+    return w, 0.7 * own + 0.3 * b
 
 
 class Model:
@@ -139,16 +156,16 @@ def _machine(features: tuple[str, ...]):
 def train(positive: list[str], unlabelled: list[str], prior: float) -> Model:
     """Without positive or unlabelled texts the model is the prior alone."""
     prior = min(max(prior, 1e-3), 0.9)
-    p, u = [grams(prepared(x)) for x in positive], [grams(prepared(x)) for x in unlabelled]
+    p, u = [prepared(x) for x in positive], [prepared(x) for x in unlabelled]
     features = pick_features(p, u) if p and u else []
     if not features:
         return Model([], [], float(np.log(prior / (1 - prior))))
     at = {g: i for i, g in enumerate(features)}
 
-    def matrix(rows: list[set[str]]) -> np.ndarray:
-        out = np.zeros((len(rows), len(features)), np.float32)
-        for i, row in enumerate(rows):
-            out[i, [at[g] for g in row if g in at]] = 1
+    def matrix(lines: list[str]) -> np.ndarray:
+        out = np.zeros((len(lines), len(features)), np.float32)
+        for i, line in enumerate(lines):
+            out[i, [at[g] for g in at.keys() & grams(line)]] = 1
         return out
 
     w, b = fit_nnpu(matrix(p), matrix(u), prior)
