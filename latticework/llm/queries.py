@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, near_dedup, packing, quality, token_count, toxicity, training_order, url_filter
+from . import exact_dedup, katz, mixing, near_dedup, packing, quality, token_count, toxicity, training_order, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.similar(table(spark, sf_dir, "documents"), words=3, percent=85, bands=24, rows=5)
 
@@ -52,7 +56,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_token_counts, op4_quality_rules, op6_near_dedup, op7_training_order, op8_exact_dedup, op9_packing, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_token_counts, op4_quality_rules, op5_katz, op6_near_dedup, op7_training_order, op8_exact_dedup, op9_packing, op10_mixing)}
 
 OP1_SQL = r"""
 WITH cut AS (
