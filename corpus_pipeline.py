@@ -1,20 +1,47 @@
-"""From documents to packed training sequences, stage by stage."""
+"""From documents to packed training sequences: quality rules, exact dedup, near-dedup, mixing of sources, packing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latticework.llm import mixing
+from latticework.llm import exact_dedup, mixing, near_dedup, packing, quality
 from latticework.llm.common import stored
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the weak supervision reject go."""
+    return quality.keep_good(docs)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts stays."""
+    return exact_dedup.dedup(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: five-word shingles, a similarity of 0.8 or more."""
+    return near_dedup.drop_similar(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mixture takes it."""
     return mixing.mix(docs)
 
 
-STAGES = [("mix sources", mix_sources)]
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a packed sequence."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("exact dedup", exact_copies),
+    ("near dedup", near_copies),
+    ("mix sources", mix_sources),
+    ("pack sequences", pack_sequences),
+]
 
-#: Hashing, expectation-maximisation, tokenizing and packing have no counterpart in SQL.
+#: Expectation-maximisation, tokenizing and packing have no counterpart in SQL; the test holds each stage against a plain computation.
 ORACLE_SQL = None
 
 
