@@ -3,7 +3,9 @@
 A document is the set of its word shingles. Documents with the same set form a class (found by a 128-bit fingerprint, merged before the shuffle);
 everything else works on one document of each class, so exact copies never meet. MinHash bands put similar sets into common buckets. The samples
 also toggle bits of an odd sketch: the number of bits in which two sketches differ estimates a high similarity closely, so that a candidate needs
-no look at the sets unless its estimate is near the threshold. Pairs that are left are confirmed on full sets.
+no look at the sets unless its estimate is near the threshold. A second odd sketch holds the whole set, not samples: the bits in which two of these differ
+are never more than the elements in which the sets differ, so it rules pairs out for certain, and sharply as long as sets have some thousand elements at
+most. Pairs that are left are confirmed on full sets.
 
 No bucket emits all its pairs. First every member is compared with the bucket's most central one, the one whose buckets have the most members: of
 a group of near copies of one text that is as a rule the text itself. Buckets whose members are all linked by then are done. In the others, only
@@ -26,6 +28,8 @@ WORDS, PERCENT = 5, 80
 #: A pair of similarity s shares a band with probability 1 - (1 - s^ROWS)^BANDS: all but 4e-7 at 0.85, all but 3e-7 at 0.8 (28 bands of 4).
 BANDS, ROWS = 28, 4
 SKETCH_BITS = 512
+#: Of the sketch of whole sets.
+WHOLE_BITS = 1024
 #: How far below the threshold an estimate may lie: six standard deviations of the sketch and the sample together.
 SLACK = 6.0
 _RNG = np.random.default_rng(20240229)
@@ -90,6 +94,12 @@ def odd_sketches(samples: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     return np.packbits(odd, axis=1).view("<i8")
 
 
+def whole_sketch(found: np.ndarray, bits: int = WHOLE_BITS) -> np.ndarray:
+    """Parity of the elements in each of ``bits`` cells."""
+    odd = np.bincount((found % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 def most_differing(threshold: float, size: int, bits: int = SKETCH_BITS, slack: float = SLACK) -> int:
     """Differing bits up to which a pair of that similarity must be confirmed. With s samples that differ, bits/2 (1 - (1 - 2/bits)^(2 s)) bits are expected to."""
     differ = size * (1 - threshold) + slack * np.sqrt(size * threshold * (1 - threshold))
@@ -98,14 +108,14 @@ def most_differing(threshold: float, size: int, bits: int = SKETCH_BITS, slack:
 
 
 def sketches(docs: DataFrame, key: str, text: str, words: int, bands: int, rows: int) -> DataFrame:
-    """(k, n, f1, f2, s, b): set size, fingerprint, odd sketch and band hashes of every row."""
+    """(k, n, f1, f2, s, b): set size, fingerprint, both odd sketches and band hashes of every row."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType
     longs = pa.list_(pa.int64())
     schema = pa.schema([("k", to_arrow_type(kind)), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("s", longs), ("b", longs)])
-    words_of_sketch = SKETCH_BITS // 64
+    words_of_sketch = (SKETCH_BITS + WHOLE_BITS) // 64
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -113,12 +123,13 @@ def sketches(docs: DataFrame, key: str, text: str, words: int, bands: int, rows:
             if not batch.num_rows:
                 continue
             size, prints, samples = [], np.zeros((batch.num_rows, 2), np.int64), np.zeros((batch.num_rows, bands * rows), np.uint64)
+            whole = np.zeros((batch.num_rows, WHOLE_BITS // 64), np.int64)
             for i, t in enumerate(texts(batch.column(1))):
                 found = shingles(t, words, known)
                 size.append(len(found))
                 prints[i] = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)
-                samples[i] = min_hashes(found, bands * rows)
-            b, s = band_hashes(samples, bands, rows).view(np.int64), odd_sketches(samples)
+                samples[i], whole[i] = min_hashes(found, bands * rows), whole_sketch(found)
+            b, s = band_hashes(samples, bands, rows).view(np.int64), np.concatenate([odd_sketches(samples), whole], 1)
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, w), pa.int32()), pa.array(np.ascontiguousarray(x).ravel())) for x, w in ((s, words_of_sketch), (b, bands))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(np.ascontiguousarray(prints[:, 0])), pa.array(np.ascontiguousarray(prints[:, 1])), *lists], schema=schema)
 
@@ -174,9 +185,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int
 
 
 def _near(s: str, t: str, n: str, m: str, percent: int, limit: int) -> Column:
-    """May the sets with these sketches and sizes be similar enough?"""
-    differ = sum((F.bit_count(F.get(F.col(s), F.lit(i)).bitwiseXOR(F.get(F.col(t), F.lit(i)))) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differ <= limit)
+    """May the sets with these sketches and sizes be similar enough? If they are, they differ in at most (100 - percent) / (100 + percent) of their summed sizes."""
+
+    def differ(first: int, last: int) -> Column:
+        return sum((F.bit_count(F.get(F.col(s), F.lit(i)).bitwiseXOR(F.get(F.col(t), F.lit(i)))) for i in range(first, last)), F.lit(0))
+
+    sampled, both = SKETCH_BITS // 64, (SKETCH_BITS + WHOLE_BITS) // 64
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differ(sampled, both) * (100 + percent) <= (F.col(n) + F.col(m)) * (100 - percent)) & (differ(0, sampled) <= limit)
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
