@@ -143,6 +143,8 @@ class Block:
 
 def split(where: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(value, ascending places that have it)"""
+    if not len(where):
+        return
     order = np.argsort(where, kind="stable")
     values, starts = np.unique(where[order], return_index=True)
     for v, at in zip(values, np.split(order, starts[1:]), strict=True):

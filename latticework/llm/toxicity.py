@@ -24,8 +24,8 @@ from .common import bounded_batches, bucket_crc, crc_mod
 MAX_POSITIVE, MAX_UNLABELLED = 1500, 3000
 #: n-grams in the model.
 MAX_FEATURES = 1500
-#: A text shares at most this part of its sampled n-grams with an earlier positive one; else it is a copy and teaches nothing new.
-COPY = 0.7
+#: A text shares at most this part of its sampled word triples with an earlier positive one; else it is a copy and teaches nothing new.
+COPY = 0.4
 #: A feature's log-likelihood ratio against 'as frequent in either set' is at least this, as very many n-grams are tried.
 SURE = 15.0
 BUCKETS = 1 << 22
@@ -52,10 +52,11 @@ def grams(line: str) -> set[str]:
 
 
 def without_copies(lines: list[str], most: float = COPY, size: int = 64) -> list[str]:
-    """Texts unlike all earlier ones, by the overlap of their n-grams with the smallest hashes."""
+    """Texts unlike all earlier ones, by the overlap of their word triples with the smallest hashes."""
     kept: list[tuple[set[int], str]] = []
     for line in lines:
-        low = set(sorted(hashed(line))[:size])
+        words = line[1:-1].split("><")
+        low = set(sorted({zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))})[:size])
         if all(len(low & other) <= most * len(low) for other, _ in kept):
             kept.append((low, line))
     return [line for _, line in kept]
