@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc_mod, discard, shuffle_partitions, stored, texts
+from .common import bounded_batches, crc_mod, discard, release, shuffle_partitions, stored, texts
 
 FOLDS, HELD_OUT = 5, 1
 #: Tokens of a block, and of the corpus for each part of the tables.
@@ -310,10 +310,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", block_tokens
     chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
     parts = min(1 << 16, max(shuffle_partitions(spark), math.ceil(chars / 6 / block_tokens)))
     made, made_path = stored(docs.select(key, text).mapInArrow(_blocks(parts, block_tokens), _ROW), "blocks", by="kind")
-    asked = made.where(F.col("kind").isin(WORDS, BIGRAMS))
-    counts, _ = stored(asked.groupBy("kind", "part").applyInArrow(_totals, _ROW), "counts", by="kind")
-    for k in (WORDS, BIGRAMS):
+    counts, counts_path = stored(made.where(F.col("kind").isin(WORDS, BIGRAMS)).groupBy("kind", "part").applyInArrow(_totals, _ROW), "counts", by="kind")
+    for k in (WORDS, BIGRAMS):  # each step's input goes as soon as its output is complete
         discard(spark, f"{made_path}/kind={k}")
+    release(spark)
     summed = {WORDS: np.zeros(_COUNTS + 2, np.int64), BIGRAMS: np.zeros(_COUNTS + 2, np.int64)}
     for r in counts.where("block = ''").select("kind", "data").collect():  # a few numbers for each part of the tables
         summed[r["kind"]] += np.frombuffer(bytes(r["data"]), "<i8")
@@ -322,6 +322,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", block_tokens
 
     plans = spark.read.schema(made.schema).parquet(made_path).where(F.col("kind") == PLAN)
     held, _ = stored(plans.unionByName(counts.where("block != ''")).groupBy("block").applyInArrow(_hits(model), _ROW), "hits", by="kind")
+    del plans, counts
+    discard(spark, made_path)
+    discard(spark, counts_path)
+    release(spark)
     weights = held.where(F.col("kind") == WEIGHTS).groupBy("part").applyInArrow(_weights, _ROW)
     schema = pa.schema([(key, to_arrow_type(kind)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     tokens = model.tokens
