@@ -180,9 +180,7 @@ def _blocks(parts: int, size: int):
             hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in numbers], np.uint64)
             block = Block(list(keys), np.array(held, bool), np.array(lengths, np.int64), np.array(current, np.int32), hashes, parts)
             data = block.pack()
-            name = xxhash.xxh3_128_hexdigest(data)
-            yield from _rows([(name, -1, data, b"", PLAN)]).to_batches()
-            yield from _rows([(name, part, marks, counts, kind) for kind, part, marks, counts in block.questions()]).to_batches(max_chunksize=64)
+            yield from _rows([(xxhash.xxh3_128_hexdigest(data), -1, data, b"", PLAN)]).to_batches()
             for x in (keys, held, lengths, current):
                 x.clear()
             numbers.clear()
@@ -204,6 +202,14 @@ def _blocks(parts: int, size: int):
     return run
 
 
+def _questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the blocks that are kept: the same each time."""
+    for batch in batches:
+        for name, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            rows = [(name, part, marks, counts, kind) for kind, part, marks, counts in Block.unpack(data).questions()]
+            yield from _rows(rows).to_batches(max_chunksize=64)
+
+
 _COUNTS = MOST_DISCOUNTED + 2
 
 
@@ -306,24 +312,21 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", block_tokens
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark, kind = docs.sparkSession, docs.schema[key].dataType
-    bounded_batches(spark)
+    bounded_batches(spark)  # also of blocks, which are rows of some MB
     chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
     parts = min(1 << 16, max(shuffle_partitions(spark), math.ceil(chars / 6 / block_tokens)))
-    made, made_path = stored(docs.select(key, text).mapInArrow(_blocks(parts, block_tokens), _ROW), "blocks", by="kind")
-    counts, counts_path = stored(made.where(F.col("kind").isin(WORDS, BIGRAMS)).groupBy("kind", "part").applyInArrow(_totals, _ROW), "counts", by="kind")
-    for k in (WORDS, BIGRAMS):  # each step's input goes as soon as its output is complete
-        discard(spark, f"{made_path}/kind={k}")
-    release(spark)
+    plans, plans_path = stored(docs.select(key, text).mapInArrow(_blocks(parts, block_tokens), _ROW), "blocks")
+    counts, counts_path = stored(plans.mapInArrow(_questions, _ROW).groupBy("kind", "part").applyInArrow(_totals, _ROW), "counts", by="kind")
+    release(spark)  # what a step has read goes as soon as its output is complete
     summed = {WORDS: np.zeros(_COUNTS + 2, np.int64), BIGRAMS: np.zeros(_COUNTS + 2, np.int64)}
     for r in counts.where("block = ''").select("kind", "data").collect():  # a few numbers for each part of the tables
         summed[r["kind"]] += np.frombuffer(bytes(r["data"]), "<i8")
     words, bigrams = summed[WORDS], summed[BIGRAMS]
     model = Model(words[:_COUNTS].tolist(), bigrams[:_COUNTS].tolist(), int(words[-2]), int(words[-1]), words[:_COUNTS] * np.arange(_COUNTS))
 
-    plans = spark.read.schema(made.schema).parquet(made_path).where(F.col("kind") == PLAN)
     held, _ = stored(plans.unionByName(counts.where("block != ''")).groupBy("block").applyInArrow(_hits(model), _ROW), "hits", by="kind")
     del plans, counts
-    discard(spark, made_path)
+    discard(spark, plans_path)
     discard(spark, counts_path)
     release(spark)
     weights = held.where(F.col("kind") == WEIGHTS).groupBy("part").applyInArrow(_weights, _ROW)
