@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.grades import canonical_grade, compare_grades, equivalence, grade_family
 from ..functions.numbers import half_up
 from ..functions.registry import GRADE_FIELDS, NO_AUTO, NOT_SAFETY, REGISTRY, Field, Registry
+from .storage import cut
 
 AUTO, REVIEW = 0.90, 0.70
 # Share of the specification with one comparable field, for each more, at most; the text's share of the rest.
@@ -199,7 +200,8 @@ def score_pairs(pairs: DataFrame, registry: Registry = REGISTRY) -> DataFrame:
     held = F.struct(F.lit("unverified").alias("kind"), c("spec.unverified").alias("fields"), c("_real.uncapped").alias("score"), none.alias("capped_by"))
     clean = F.lit(True) if flags is None else F.coalesce(F.size(flags) == 0, F.lit(True))
     counter = F.when(blocked.isNotNull(), F.when(same & (F.size(c("spec.vetoes")) <= MAX_FLIPS), cause)).when((c("_real.uncapped") > c("_real.final")) & (F.size(c("spec.unverified")) > 0) & clean, held)
-    return (
+    # checkpointed: scores are read more than once, and a filter on them must not be pushed into these expressions
+    return cut(
         made.withColumn("counterfactual", counter)
         .withColumn("final", F.when(blocked.isNotNull(), 0.0).otherwise(c("_real.final")))
         .withColumn("uncapped", F.when(blocked.isNull(), c("_real.uncapped")))
