@@ -18,7 +18,7 @@ def half_up_sql(x: str, digits: int) -> str:
 
 def plain_number(x: Column) -> Column:
     """25.0 as 25, 2.5 as 2.5; large numbers without exponents."""
-    return F.when(x == F.floor(x), F.floor(x).cast("long").cast("string")).otherwise(F.regexp_replace(F.format_string("%.6f", x), "0+$", ""))
+    return F.when(x == F.floor(x), F.floor(x).cast("long").cast("string")).when(x.isNotNull(), F.regexp_replace(F.format_string("%.6f", x), "0+$", ""))
 
 
 def two_figures(x: Column) -> Column:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import insight_queries, matching_queries, procurement_queries
+from . import insight_queries, matching_queries, procurement_queries, text_queries
 
-_MODULES = (procurement_queries, matching_queries, insight_queries)
+_MODULES = (procurement_queries, matching_queries, insight_queries, text_queries)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
