@@ -107,6 +107,16 @@ def field_outcome(field: Field, a: Column, b: Column, varied: Column | None) ->
     return F.struct(F.lit(field.name).alias("name"), outcome.alias("outcome"), (confidence * field.weight).alias("w"), F.array(*map(F.lit, field.alt)).cast("array<string>").alias("alt"))
 
 
+def first_veto(category: Column, a: Column, b: Column, registry: Registry = REGISTRY) -> Column:
+    """Name of the first veto field that both state differently: ``agreement``'s blocked_by inside a category, without the rest of the evidence, so that it is cheap."""
+
+    def of(fields: tuple[Field, ...]) -> Column:
+        named = [F.when(a[f.name].isNotNull() & b[f.name].isNotNull() & (compare(f, a[f.name], b[f.name]) == "mismatch"), f.name) for f in fields if f.hard]
+        return F.coalesce(*named, F.lit(None).cast("string"))
+
+    return F.coalesce(*[F.when(category == name, of(fields)) for name, fields in registry.items()], F.lit(None).cast("string"))
+
+
 def outcomes(category: Column, a: Column, b: Column, registry: Registry = REGISTRY, varied: Column | None = None) -> Column:
     """What each field of the category says about two attribute maps, in registry order; silent fields are left out.
 
