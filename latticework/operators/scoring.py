@@ -70,15 +70,16 @@ def compare_connections(x: Column, y: Column) -> Column:
     )
 
 
-def compare(field: Field, x: Column, y: Column) -> Column:
-    """'agree', 'mismatch' or 'unknown' of two attribute values (structs)."""
+def compare(field: Field, x: Column, y: Column, canonical: bool = False) -> Column:
+    """'agree', 'mismatch' or 'unknown' of two attribute values (structs). ``canonical``: texts have been through ``canonical_text`` already."""
     if field.name in GRADE_FIELDS:
         return compare_grades(x.str, y.str)
     if field.name == "connection":
         return compare_connections(x.str, y.str)
     if field.kind == "num":
         return F.when(F.coalesce(numbers_agree(x.num, y.num, field.exact), F.lit(False)), "agree").otherwise("mismatch")
-    plain = F.when(canonical_text(x.str) == canonical_text(y.str), "agree").otherwise("mismatch")
+    same = x.str == y.str if canonical else canonical_text(x.str) == canonical_text(y.str)
+    plain = F.when(same, "agree").otherwise("mismatch")
     if field.name == "standard":
         relation = equivalence(x.str, y.str).relation
         return F.when(relation == "NEAREST", "unknown").when(relation.isNotNull(), "agree").otherwise(plain)
@@ -108,10 +109,13 @@ def field_outcome(field: Field, a: Column, b: Column, varied: Column | None) ->
 
 
 def first_veto(category: Column, a: Column, b: Column, registry: Registry = REGISTRY) -> Column:
-    """Name of the first veto field that both state differently: ``agreement``'s blocked_by inside a category, without the rest of the evidence, so that it is cheap."""
+    """Name of the first veto field that both state differently: ``agreement``'s blocked_by inside a category, without the rest of the evidence, so that it is cheap.
+
+    Texts must be canonical already: that is done once a record, not once a pair.
+    """
 
     def of(fields: tuple[Field, ...]) -> Column:
-        named = [F.when(a[f.name].isNotNull() & b[f.name].isNotNull() & (compare(f, a[f.name], b[f.name]) == "mismatch"), f.name) for f in fields if f.hard]
+        named = [F.when(a[f.name].isNotNull() & b[f.name].isNotNull() & (compare(f, a[f.name], b[f.name], True) == "mismatch"), f.name) for f in fields if f.hard]
         return F.coalesce(*named, F.lit(None).cast("string"))
 
     return F.coalesce(*[F.when(category == name, of(fields)) for name, fields in registry.items()], F.lit(None).cast("string"))
