@@ -169,6 +169,12 @@ def lexical_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.near_misses(p, "record_id", "tokens", "category", 0.85).withColumn("similarity", half_up("similarity", 4))
 
 
+def near_miss_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole near-miss search, at the reference's 0.6; lexical_jaccard_pairs has the part of it from 0.85 on."""
+    p = parts(spark, sf_dir).withColumn("tokens", scoring.tokens(F.col("description")))
+    return mining.near_misses(p, "record_id", "tokens", "category").withColumn("similarity", half_up("similarity", 4))
+
+
 def catalogue_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.search(parts(spark, sf_dir), "hot  GEAR promo", ["source_code", "description", "category"]).select("record_id", "description")
 
@@ -215,7 +221,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         audit_seals, audit_seal_verify, audit_replay, consent_refusals, disputes, state_digest, permissions, pair_metrics_sweep, split_metrics, cluster_metrics, trap_pairs, veto_accuracy, error_bound_zero, error_bound_general,
-        baseline_threshold_pick, tfidf_cosine, fuzzy_ratio, label_kappa, label_report, label_disagreements, line_mining_rank, lexical_jaccard_pairs, catalogue_search, company_rollup, category_rollup, price_spread,
+        baseline_threshold_pick, tfidf_cosine, fuzzy_ratio, label_kappa, label_report, label_disagreements, line_mining_rank, lexical_jaccard_pairs, near_miss_pairs, catalogue_search, company_rollup, category_rollup, price_spread,
         refusals_by_rule, migration_export, review_records, review_metrics,
     )
 }
@@ -295,6 +301,8 @@ s AS (SELECT *, greatest(0, least(a, 2) * 2 + least(b, 4) + contains(line, ','):
 r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, doc_id, pos) AS rn FROM s WHERE score >= 2) SELECT score, doc_id, pos FROM r WHERE rn = 1""",
     "lexical_jaccard_pairs": f"""WITH {PARTS}, t AS (SELECT category, record_id, list_distinct(regexp_extract_all(lower(description), '[a-z0-9]+')) AS t FROM parts),
 s AS (SELECT x.record_id AS a, y.record_id AS b, len(list_intersect(x.t, y.t))::DOUBLE / len(list_distinct(list_concat(x.t, y.t))) AS s FROM t x JOIN t y USING (category) WHERE x.record_id < y.record_id) SELECT a, b, {R("s", 4)} AS similarity FROM s WHERE s >= 0.85""",
+    "near_miss_pairs": f"""WITH {PARTS}, t AS (SELECT category, record_id, list_distinct(regexp_extract_all(lower(description), '[a-z0-9]+')) AS t FROM parts),
+s AS (SELECT x.record_id AS a, y.record_id AS b, len(list_intersect(x.t, y.t))::DOUBLE / len(list_distinct(list_concat(x.t, y.t))) AS s FROM t x JOIN t y USING (category) WHERE x.record_id < y.record_id) SELECT a, b, {R("s", 4)} AS similarity FROM s WHERE s >= 0.6""",
     "catalogue_search": f"WITH {PARTS}, h AS (SELECT *, lower(concat_ws(' ', source_code, description, category)) AS h FROM parts) SELECT record_id, description FROM h WHERE contains(h, 'hot') AND contains(h, 'gear') AND contains(h, 'promo')",
     "company_rollup": f"""WITH {PARTS}, p AS (SELECT {_CODE} AS code, cpse, count(*) AS n FROM parts GROUP BY ALL), w AS (SELECT code, count(*) AS w FROM p GROUP BY code)
 SELECT cpse, sum(n)::BIGINT AS records, count(*) AS codes, count(*) FILTER (w > 1) AS shared, sum(n - 1)::BIGINT AS inside_repeats FROM p JOIN w USING (code) GROUP BY cpse""",

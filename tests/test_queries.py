@@ -1,7 +1,9 @@
 """Every query with SQL against DuckDB over the smallest tables, and again with other partitionings."""
 
+import re
 from collections import Counter
 from decimal import Decimal
+from itertools import combinations
 from pathlib import Path
 
 import duckdb
@@ -55,6 +57,16 @@ def test_partitioning_changes_nothing(spark, name):
         spark.conf.set("spark.sql.shuffle.partitions", kept)
 
 
+def test_near_misses_hold_pairs_that_differ_in_one_token(spark):
+    import __spark_entry__
+    from latticework.plans.standins import parts
+
+    rows = [(r.record_id, r.category, set(re.findall("[a-z0-9]+", r.description.lower()))) for r in parts(spark, SF).collect()]
+    want = {(min(a, b), max(a, b)) for (a, c, t), (b, d, u) in combinations(rows, 2) if c == d and len(t & u) / len(t | u) >= 0.6}
+    got = [(r.a, r.b) for r in __spark_entry__.queries()["near_miss_pairs"](spark, SF).collect()]
+    assert want and len(got) == len(want) and set(got) == want
+
+
 def test_entry(spark):
     import __spark_entry__
 
