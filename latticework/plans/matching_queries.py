@@ -106,15 +106,25 @@ def mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.mappings(members.join(key, item_key()).withColumn("band", F.lit("auto")))
 
 
-def gate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every part asks whether its item is catalogued; the catalogue are the first parts of the items with three parts or more."""
+def _gate(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
+    """Every part asks whether its item is catalogued; the catalogue are the first parts of the items with ``least`` parts or more."""
     whole = records(spark, sf_dir)
-    golden = whole.groupBy(*item_key()).agg(F.count(F.lit(1)).alias("n"), F.min("record_id").alias("first")).where("n >= 2").select("first")
+    golden = whole.groupBy(*item_key()).agg(F.count(F.lit(1)).alias("n"), F.min("record_id").alias("first")).where(F.col("n") >= least).select("first")
     catalogue = whole.join(golden, F.col("record_id") == F.col("first")).select(F.col("record_id").alias("code"), "category", "attributes", "description")
     return gate.verdicts(whole.select(F.col("record_id").alias("request"), "category", "attributes", "description"), catalogue, REGISTRY).select("request", "verdict", "best", "best_score", "n_candidates", "n_refused", "compared_against")
 
 
-QUERIES = {f.__name__: f for f in (blocking_keys, blocking_candidates, blocking_quality, blocking_missed, knn_within_label, spec_outcomes, pair_scores, veto_counts, counterfactual_scores, pair_explanations, clusters, golden_records, national_codes, mappings, gate_verdicts)}
+def gate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate over a part of the catalogue: items with two parts or more."""
+    return _gate(spark, sf_dir, 2)
+
+
+def gate_all_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate over the whole catalogue: one code for every item, as in national_codes."""
+    return _gate(spark, sf_dir, 1)
+
+
+QUERIES = {f.__name__: f for f in (blocking_keys, blocking_candidates, blocking_quality, blocking_missed, knn_within_label, spec_outcomes, pair_scores, veto_counts, counterfactual_scores, pair_explanations, clusters, golden_records, national_codes, mappings, gate_verdicts, gate_all_codes)}
 
 _VALUE = "upper(replace({0}, '_', ' '))"
 _SIZE = "CASE WHEN size = 0 THEN '0.0' ELSE (round_even(size / pow(10.0, floor(log10(abs(size))) - 1), 0) * pow(10.0, floor(log10(abs(size))) - 1))::DOUBLE::VARCHAR END"
@@ -232,3 +242,4 @@ SELECT record_id AS request, CASE WHEN final >= 0.9 THEN 'EXISTS' WHEN final >=
        coalesce(n_candidates, 0) AS n_candidates, coalesce(n_refused, 0) AS n_refused, (SELECT count(*) FROM cat) AS compared_against
 FROM parts LEFT JOIN c ON c.request = record_id LEFT JOIN b ON b.request = record_id AND rn = 1""",
 }
+ORACLE_SQL["gate_all_codes"] = ORACLE_SQL["gate_verdicts"].replace(" HAVING count(*) >= 2", "")

@@ -67,6 +67,16 @@ def test_near_misses_hold_pairs_that_differ_in_one_token(spark):
     assert want and len(got) == len(want) and set(got) == want
 
 
+def test_gate_compares_with_the_code_of_every_item(spark):
+    import __spark_entry__
+
+    codes = QUERIES["national_codes"](spark, SF)
+    single = {r.first_record for r in codes.where("member_count = 1").collect()}
+    got = {r.request: r for r in __spark_entry__.queries()["gate_all_codes"](spark, SF).collect()}
+    assert single and {r.compared_against for r in got.values()} == {codes.count()}
+    assert all(got[i].n_candidates > 0 and got[i].verdict == "EXISTS" for i in single)
+
+
 def test_entry(spark):
     import __spark_entry__
 
