@@ -22,11 +22,13 @@ from __future__ import annotations
 import math
 import pickle
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -175,12 +177,14 @@ def _blocks(parts: int, size: int):
         lengths: list[int] = []
         numbers: dict[bytes, int] = {END: 0, START: 1}
         current: list[int] = []
+        partition, flushed = TaskContext.get().partitionId(), count()
 
         def flush() -> Iterator[pa.RecordBatch]:
             hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in numbers], np.uint64)
             block = Block(list(keys), np.array(held, bool), np.array(lengths, np.int64), np.array(current, np.int32), hashes, parts)
             data = block.pack()
-            yield from _rows([(xxhash.xxh3_128_hexdigest(data), -1, data, b"", PLAN)]).to_batches()
+            # blocks of the same content have names of their own; they are stored before a name is used, so a rerun does no harm
+            yield from _rows([(f"{xxhash.xxh3_128_hexdigest(data)}-{partition}-{next(flushed)}", -1, data, b"", PLAN)]).to_batches()
             for x in (keys, held, lengths, current):
                 x.clear()
             numbers.clear()

@@ -220,6 +220,17 @@ def test_katz_scores(docs, empty):
     assert katz.score(empty).count() == 0
 
 
+def test_katz_keeps_blocks_of_the_same_content_apart(spark):
+    rows = [(i, t, "en", "a", 1) for i, t in [(1, "a b a b c"), (2, "b c a"), (3, "a a d b")]]
+    table = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), SCHEMA)
+    once = spark.createDataFrame(rows * 2, SCHEMA).coalesce(1)
+    got = lambda df, size: Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, f"{r.base_score:.9f}", f"{r.score:.9f}") for r in katz.score(df, block_tokens=size).collect())
+    want = got(once, 10**6)
+    assert want.total() == 6
+    assert got(table.union(table), 10**6) == want  # equal partitions
+    assert got(once, 1) == want  # equal blocks of one partition
+
+
 def _components(rows, width, percent):
     sets = defaultdict(list)
     for k, t in rows:
