@@ -37,9 +37,9 @@ def packed_cells(rows: DataFrame, columns: list[str], keep: list[str]) -> DataFr
     return rows.select(*keep, F.explode(F.filter(F.transform(F.split(first, r"[\|]"), lambda x: F.trim(x)), lambda x: x != "")).alias("description"))
 
 
-def ranked_lines(rows: DataFrame, text: str, order: list[str], least: int = 1) -> DataFrame:
-    """Lines with a score, one for each dedup key (the best, then the first), numbered by score; ``order`` makes ties total."""
-    scored = rows.withColumn("score", line_score(F.col(text))).where(F.col("score") >= least).withColumn("_key", dedup_key(F.col(text)))
+def ranked_lines(rows: DataFrame, text: str, order: list[str], least: int = 1, score: Column | None = None) -> DataFrame:
+    """Lines with a score (``line_score`` if none is given), one for each dedup key (the best, then the first), numbered by score; ``order`` makes ties total."""
+    scored = rows.withColumn("score", line_score(F.col(text)) if score is None else score).where(F.col("score") >= least).withColumn("_key", dedup_key(F.col(text)))
     best = scored.groupBy("_key").agg(F.min(F.struct((-F.col("score")).alias("_s"), *order, *[c for c in scored.columns if c not in ("_key", *order)])).alias("b")).select("b.*").drop("_s")
     return numbered(best, [], [F.desc("score"), *[F.asc(c) for c in order]], "rank")
 

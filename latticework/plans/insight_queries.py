@@ -164,6 +164,12 @@ def line_mining_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select((-F.col("b.s")).alias("score"), F.col("b.doc_id").alias("doc_id"), F.col("b.pos").alias("pos"))
 
 
+def mined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line with a positive score, with its rank among all; line_mining_rank has those from score 2 on, without rank."""
+    score = mining.line_score(F.col("line"), "IDIOT|ORDER|LICENSE", r"[0-9]+", "THE")
+    return mining.ranked_lines(mining.lines(table(spark, sf_dir, "documents"), "doc_id", "text"), "line", ["doc_id", "pos"], score=score).select("score", "doc_id", "pos", "rank")
+
+
 def lexical_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = parts(spark, sf_dir).withColumn("tokens", scoring.tokens(F.col("description")))
     return mining.near_misses(p, "record_id", "tokens", "category", 0.85).withColumn("similarity", half_up("similarity", 4))
@@ -221,7 +227,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         audit_seals, audit_seal_verify, audit_replay, consent_refusals, disputes, state_digest, permissions, pair_metrics_sweep, split_metrics, cluster_metrics, trap_pairs, veto_accuracy, error_bound_zero, error_bound_general,
-        baseline_threshold_pick, tfidf_cosine, fuzzy_ratio, label_kappa, label_report, label_disagreements, line_mining_rank, lexical_jaccard_pairs, near_miss_pairs, catalogue_search, company_rollup, category_rollup, price_spread,
+        baseline_threshold_pick, tfidf_cosine, fuzzy_ratio, label_kappa, label_report, label_disagreements, line_mining_rank, mined_lines, lexical_jaccard_pairs, near_miss_pairs, catalogue_search, company_rollup, category_rollup, price_spread,
         refusals_by_rule, migration_export, review_records, review_metrics,
     )
 }
@@ -321,3 +327,4 @@ r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY nm DESC, ss DESC, ts
 SELECT count(*) AS records, count(*) FILTER (has) AS with_match, {R("count(*) FILTER (f) / nullif(count(*) FILTER (has), 0)::DOUBLE", 4)} AS hit_at_1, {R("count(*) FILTER (t) / nullif(count(*) FILTER (has), 0)::DOUBLE", 4)} AS hit_at_3,
        list_sort(list(n))[count(*) // 2 + 1] AS median_candidates FROM p""",
 }
+ORACLE_SQL["mined_lines"] = ORACLE_SQL["line_mining_rank"].replace("WHERE score >= 2) SELECT score, doc_id, pos FROM", "WHERE score >= 1) SELECT score, doc_id, pos, row_number() OVER (ORDER BY score DESC, doc_id, pos) AS rank FROM")

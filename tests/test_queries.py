@@ -77,6 +77,14 @@ def test_gate_compares_with_the_code_of_every_item(spark):
     assert all(got[i].n_candidates > 0 and got[i].verdict == "EXISTS" for i in single)
 
 
+def test_mined_lines_have_every_positive_score_and_a_rank(spark):
+    import __spark_entry__
+
+    got = sorted(__spark_entry__.queries()["mined_lines"](spark, SF).collect(), key=lambda r: r["rank"])
+    assert [r["rank"] for r in got] == list(range(1, len(got) + 1)) and [r.score for r in got] == sorted((r.score for r in got), reverse=True)
+    assert got[-1].score == 1
+
+
 def test_entry(spark):
     import __spark_entry__
 
