@@ -22,6 +22,24 @@ def line_score(text: Column, nouns: str = NOUN_WORDS, specs: str = SPEC_WORDS, n
     return F.greatest(F.lit(0), raw)
 
 
+#: The reference's lists, for ``material_score``.
+MATERIAL_NOUN = r"(?iU)\b(pipe|tube|valve|flange|gasket|bearing|bolt|nut|stud|screw|washer|cable|wire|pump|motor|seal|coupling|elbow|tee|reducer|nipple|union|plug|gauge|transmitter|sensor|thermocouple|filter|strainer|belt|sheet|plate|rod|bar|hose|switch|breaker|relay|contactor|fuse|lamp|bulb|fan|blower|compressor|turbine|boiler|heater|cooler|exchanger|vessel|tank|drum|column|actuator|gland|packing|ring|bush|sleeve|shaft|gear|chain|sprocket|conveyor|insulator|transformer|panel|starter|resistor|capacitor|battery|electrode|brick|refractory)\b"
+MATERIAL_SPEC = r"""(?iU)(\b\d+(\.\d+)?\s*(mm|cm|mtr|mts?|nb|dn|inch|in\b|\"|kg|gm|mm2|sqmm|kv|v\b|hp|kw|bar|psi|rpm|deg|mesh|swg|awg|gauge)|\bss\s?\d{3}l?\b|\bms\b|\bcs\b|\bwcb\b|\bcf8m?\b|\b(astm|asme|api|ansi|din|jis|bs|is)\s?[a-z]?\s?\d{2,5}\b|\bsch\s?\d{1,3}\b|\bcl(ass)?\s?\d{3}\b|\b\d{3,4}\s?#|\bgr(ade)?\.?\s?[a-z0-9]{1,4}\b|\b\d{1,2}\.\d\b)"""
+MATERIAL_NOISE = r"(?iU)\b(tender|bidder|bidding|bid\b|emd|applicant|eligibility|turnover|contract|agreement|amc|maintenance|hiring|hire|manpower|consultancy|survey|erection|commissioning|installation work|civil work|last date|due date|corrigendum|annexure|clause|shall be submitted|as per|scope of work|pre.?bid|earnest money|security deposit|experience of|should have|must have|during last|financial year|rs\.?\s?\d|crore|lakh|per annum|validity)\b"
+
+
+def material_score(text: Column) -> Column:
+    """The reference's score of a line: 0 with noise, without noun or specification, or outside 12 to 140 characters; else by specifications and form."""
+    t = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    n, specs = F.length(t), F.regexp_count(t, F.lit(MATERIAL_SPEC))
+    refused = (n < 12) | (n > 140) | t.rlike(MATERIAL_NOISE) | ~t.rlike(MATERIAL_NOUN) | (specs == 0)
+    bonus = lambda test, by: F.when(test, by).otherwise(0)
+    capitals = (F.upper(t) == t) & (F.lower(t) != t)
+    letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
+    form = F.least(F.regexp_count(t, F.lit("[,:;/]")), F.lit(6)) * 6 + bonus(capitals, 12) + bonus(n <= 70, 8) + bonus(t.rlike(r"(?U)^[A-Z][A-Z\s]{2,}[:,]"), 15) - bonus(letters < n * F.lit(0.35), 20)
+    return F.when(refused, 0).otherwise(F.greatest(F.lit(0), F.least(specs, F.lit(5)) * 10 + form))
+
+
 def dedup_key(text: Column) -> Column:
     return F.regexp_replace(F.upper(text), "[^A-Z0-9]", "")
 
@@ -38,8 +56,8 @@ def packed_cells(rows: DataFrame, columns: list[str], keep: list[str]) -> DataFr
 
 
 def ranked_lines(rows: DataFrame, text: str, order: list[str], least: int = 1, score: Column | None = None) -> DataFrame:
-    """Lines with a score (``line_score`` if none is given), one for each dedup key (the best, then the first), numbered by score; ``order`` makes ties total."""
-    scored = rows.withColumn("score", line_score(F.col(text)) if score is None else score).where(F.col("score") >= least).withColumn("_key", dedup_key(F.col(text)))
+    """Lines with a score (``material_score`` if none is given), one for each dedup key (the best, then the first), numbered by score; ``order`` makes ties total."""
+    scored = rows.withColumn("score", material_score(F.col(text)) if score is None else score).where(F.col("score") >= least).withColumn("_key", dedup_key(F.col(text)))
     best = scored.groupBy("_key").agg(F.min(F.struct((-F.col("score")).alias("_s"), *order, *[c for c in scored.columns if c not in ("_key", *order)])).alias("b")).select("b.*").drop("_s")
     return numbered(best, [], [F.desc("score"), *[F.asc(c) for c in order]], "rank")
 

@@ -240,6 +240,15 @@ def test_units_packs_and_mining(spark):
     assert mining.packed_cells(spark.createDataFrame([("", "a | b||c")], "x string, y string"), ["x", "y"], []).count() == 3
 
 
+def test_material_score_is_the_references(spark):
+    want = {
+        "GATE VALVE 2 INCH 150# ASTM A105, FLANGED": 56, "PIPE:BLK,2 INCH,SCH 40": 73, "pipe 2 inch 4 inch 12345678901234567890123456789": 8, "PIPE 2 INCH": 0, "GATE VALVE LARGE SIZE": 0, "WIDGET 2 INCH ASTM A105": 0,
+        "ANNUAL TENDER FOR VALVE 2 INCH, ASTM A105": 0, "PIPE 2 INCH " + "X" * 140: 0,
+    }
+    lines = spark.createDataFrame([(x,) for x in want], "line string").select("line", mining.material_score(F.col("line")).alias("score"))
+    assert {r.line: r.score for r in lines.collect()} == want
+
+
 def test_generated_items_differ_as_they_should(spark):
     items = generate.universe(spark, {"size": [1, 2, 3], "grade": ["A", "B"], "end": ["x", "y"]}, (F.col("size") < 3) | (F.col("grade") == "A")).withColumn("id", F.concat_ws("-", F.col("size").cast("string"), "grade", "end"))
     assert items.count() == 10
