@@ -16,10 +16,10 @@ def spreadsheet_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(F.col(columns[0]).alias("﻿" + columns[0]), *columns[1:]).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def erp_csv(df: DataFrame, path: str) -> None:
-    """A load file: every cell quoted, lines ending in CR LF."""
+def erp_csv(df: DataFrame, path: str, files: int = 1) -> None:
+    """A load file: every cell quoted, lines ending in CR LF. One task writes each file, row after row; systems that load several take more ``files``."""
     cells = F.concat_ws(",", *[F.concat(F.lit('"'), F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), '"', '""'), F.lit('"')) for c in df.columns])
-    df.select(cells.alias("value")).write.mode("overwrite").option("lineSep", "\r\n").text(path)
+    df.select(cells.alias("value")).coalesce(files).write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
 def documents(df: DataFrame, path: str) -> None:
