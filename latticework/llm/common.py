@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -18,19 +16,25 @@ from pyspark.sql import functions as F
 SPACES = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows in an Arrow batch. A batch is the unit that Python holds, so this bounds memory where texts are long.
-BATCH_ROWS = 256
+#: Bytes of an Arrow batch. A batch is the unit that Python holds, so this bounds memory where texts are long; short rows still come by the thousand.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Make the session's Arrow batches short, so that a batch of very long texts stays small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound the session's Arrow batches by bytes, unless they are bounded closer already. The number of rows in a batch stays as it was set."""
+    set_ = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < set_ <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (as in tests), one of this session's own."""
+    """The folder of spark.checkpoint.dir; where it is unset and the session local (as in tests), one of this session's own."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         found = tempfile.mkdtemp(prefix="latticework-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -42,10 +46,18 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str, by: str | None = None) -> tuple[DataFrame, str]:
-    """``df`` written as a Parquet table in the shared folder and read again: its lineage is cut, and lost executors cost no recomputation."""
+    """``df`` written as a Parquet table in the shared folder and read again: its lineage is cut, and lost executors cost no recomputation.
+
+    The shuffle files of the plan that made it go when the table is complete, as nothing reads them again.
+    """
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     writer = df.write.partitionBy(by) if by else df.write
-    writer.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -56,14 +68,6 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove shuffle files of plans that nothing refers to any more; it does so when the driver collects its garbage."""
-    for _ in range(2):  # the first round frees the plans, the second what they held
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """checkpoint() into the shared folder."""
     shared_dir(df.sparkSession)

@@ -175,18 +175,74 @@ def test_quality_measures_and_verdicts(spark, docs, empty):
     assert quality.judge(empty).count() == 0 and quality.keep_good(empty).count() == 0
 
 
+def _plain_em(patterns, rounds=300):
+    """The same estimate, a text at a time."""
+    rules, (bad, good), worth = len(patterns[0]), quality.OBJECTS, quality.WORTH
+    chance, prior = [[bad] * rules, [good] * rules], quality.GOOD_SHARE
+    for _ in range(rounds):
+        post = []
+        for v in patterns:
+            like = [prior if k else 1 - prior for k in (0, 1)]
+            for k in (0, 1):
+                for j, x in enumerate(v):
+                    like[k] *= chance[k][j] if x < 0 else 1 - chance[k][j] if x > 0 else 1
+            post.append(like[1] / sum(like))
+        for k, guess in ((0, bad), (1, good)):
+            for j in range(rules):
+                cast = [(p if k else 1 - p, v[j]) for p, v in zip(post, patterns, strict=True) if v[j]]
+                chance[k][j] = (sum(w for w, x in cast if x < 0) + worth * guess) / (sum(w for w, _ in cast) + worth)
+        prior = (sum(post) + worth * quality.GOOD_SHARE) / (len(post) + worth)
+    return post
+
+
+def test_quality_verdicts_by_plain_expectation_maximisation(spark, docs):
+    junk = [(1000 + i, " ".join(f"{w}$$$" for w in _sentence(40).split()), "en", "j", 1) for i in range(12)]
+    both = docs.union(spark.createDataFrame(junk, SCHEMA))
+    good = sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in both.collect())
+    good = [(k, quality.measures(t.encode())) for k, t in good]
+    good = [(k, m) for k, m in good if not quality.base_failed(m)]
+    want = sorted((k, round(p, 6), p >= 0.5) for (k, _), p in zip(good, _plain_em([quality.votes(m) for _, m in good]), strict=True))
+    got = sorted((-1 if r.doc_id is None else r.doc_id, round(r.quality, 6), r.kept) for r in quality.judge(both).collect() if not r.base_failed)
+    assert got == want and {k for k, _, kept in got if not kept} >= {1000 + i for i in range(12)}
+
+
 def test_estimated_accuracies_follow_the_votes():
     rng = np.random.default_rng(2)
     good = rng.random(20000) < 0.8
     right = [0.95, 0.85, 0.9, 0.8]
     votes = np.stack([np.where(rng.random(20000) < 0.3, 0, np.where(rng.random(20000) < r, 1, -1) * np.where(good, 1, -1)) for r in right], 1)
     patterns, n = np.unique(votes, axis=0, return_counts=True)
-    post, _, prior = quality.estimate(patterns, n.astype(float))
+    post, objects, prior = quality.estimate(patterns, n.astype(float))
     at = {tuple(p): q for p, q in zip(patterns, post, strict=True)}
-    assert abs(prior - 0.8) < 0.1
+    assert abs(prior - 0.8) < 0.05 and np.abs(objects - [right, [1 - r for r in right]]).max() < 0.1
     assert np.mean([(at[tuple(v)] > 0.5) == g for v, g in zip(votes, good, strict=True)]) > 0.9
 
 
+def test_an_unreliable_rule_is_overruled():
+    rng = np.random.default_rng(3)
+    good = rng.random(30000) < 0.85
+    right = [0.97, 0.95, 0.95, 0.93]
+    votes = np.stack([np.where(rng.random(30000) < r, 1, -1) * np.where(good, 1, -1) for r in right] + [np.where(rng.random(30000) < 0.3, -1, 1)], 1)  # the last objects at random
+    patterns, n = np.unique(votes, axis=0, return_counts=True)
+    post, objects, _ = quality.estimate(patterns, n.astype(float))
+    at = {tuple(p): q for p, q in zip(patterns.tolist(), post, strict=True)}
+    assert at[1, 1, 1, 1, -1] > 0.99 and at[-1, -1, -1, -1, 1] < 0.01 and abs(objects[0, 4] - objects[1, 4]) < 0.05
+    assert at[1, 1, 1, -1, 1] > 0.5  # nor is one reliable rule's lone objection final
+
+
+def test_any_text_goes_through_the_token_operators(spark):
+    tok, long = load_tokenizer(PATH), 2_000_000
+    rows = [(1, "w " * 30 + " " * long + "w " * 30), (2, "a\n" + "\n" * long + "b"), (3, "x" * long)]
+    wide = spark.createDataFrame([(*r, 1, "k", 2) for r in rows], "doc_id long, text string, k int, length string, piece int").repartition(3)
+    ids = {k: [*tok.encode(t, add_special_tokens=False).ids, 2] for k, t in rows}
+    assert {r.doc_id: r.n_tokens for r in token_count.count_tokens(wide).collect()} == {k: len(x) - 1 for k, x in ids.items()}
+    packed, ordered = packing.pack(wide).collect(), training_order.materialise(wide).collect()
+    for got, size in ((packed, 1024), (ordered, 256)):
+        assert Counter(r.doc_id for r in got) == {k: -(-len(x) // size) for k, x in ids.items()}
+    assert all(zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32 for r in packed)
+    assert all(zlib.crc32(np.array(ids[r.doc_id][256 * r.piece : 256 * r.piece + r.length], "<u4").tobytes()) == r.ids_crc32 for r in ordered)
+
+
 def test_katz_scores(docs, empty):
     rows = docs.collect()
     tok = [[*words(lower(r.text)), "\n"] for r in rows]
