@@ -2,8 +2,8 @@
 
 Documents become pieces of at most ``capacity`` tokens. All that the plan needs of the corpus is how many pieces have each length, a histogram
 of ``capacity`` numbers. Patterns of few lengths that fill a sequence are enumerated, their repeat counts are fitted to the histogram by
-non-negative least squares and rounded down; what they leave is packed best fit, longest first, again by counts, so that a pattern stands for
-any number of sequences. Then every piece gets its place by its rank among the pieces of its length. Ranks are counted within salted groups,
+non-negative least squares and rounded; the residue is packed best fit, longest first, again by counts, so that a pattern stands for any number of
+sequences. Then every piece gets its place by its rank among the pieces of its length. Ranks are counted within salted groups,
 so that a very common length is no single group.
 """
 
@@ -85,24 +85,55 @@ def fit_counts(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 300) -
     return x
 
 
+#: After so many steps of the rounding up, the residue is packed to see how far it should go.
+ROUNDING_STEPS = 24
+
+
+def thinned(histogram: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns and fitted counts. A least-squares solution needs no more patterns than there are lengths, so the fit goes on with the weightiest until it has no more."""
+    patterns = enumerate_patterns(histogram, capacity)
+    x = fit_counts(patterns, histogram)
+    for times in (4, 2, 1):
+        most = times * int((histogram > 0).sum())
+        if len(patterns) > most:
+            patterns = patterns[np.sort(np.argsort(-x, kind="stable")[:most])]
+            x = fit_counts(patterns, histogram)
+    return patterns, x
+
+
 def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """[(lengths of a sequence, how many such sequences)], using each length exactly as often as the histogram says."""
+    """[(lengths of a sequence, how many such sequences)], using each length exactly as often as the histogram says.
+
+    The fitted counts of the patterns are rounded down. Then patterns get one more sequence each as long as the pieces are there, those with the longest
+    piece first, as it has the fewest ways to be completed, and of these those that lost most by rounding. Sequences of patterns are full, but in the end
+    they take short pieces that long ones of the residue need; so the residue is packed best fit after some steps each, and the rounding up goes as
+    far as gives the fewest sequences, of equal ones the farthest.
+    """
     left = np.array(histogram, np.int64).copy()
     left[0] = 0
-    out: list[tuple[tuple[int, ...], int]] = [((capacity,), int(left[capacity]))] if left[capacity] else []
-    left[capacity] = 0
-    patterns = enumerate_patterns(left, capacity)
-    counts = np.floor(fit_counts(patterns, left) + 1e-9).astype(np.int64)
+    full, left[capacity] = int(left[capacity]), 0
+    patterns, x = thinned(left, capacity)
+    counts = np.floor(x + 1e-9).astype(np.int64)
+    planned = np.zeros(len(patterns), np.int64)
+
+    def take(i: int, n: int) -> None:
+        lengths, times = np.unique(patterns[i][patterns[i] > 0], return_counts=True)
+        n = min(n, int((left[lengths] // times).min()))
+        planned[i] += n
+        left[lengths] -= n * times
+
     for i in np.argsort(-counts, kind="stable"):
-        if counts[i] <= 0:
-            break
-        row = tuple(int(x) for x in patterns[i] if x)
-        n = min(int(counts[i]), *(int(left[x]) // row.count(x) for x in set(row)))
-        if n > 0:
-            out.append((row, n))
-            for x in row:
-                left[x] -= n
-    return out + best_fit(left, capacity)
+        take(i, int(counts[i]))
+    best, fewest = None, None
+    for some in [[], *np.array_split(np.lexsort((counts - x, -patterns.max(1, initial=0))), ROUNDING_STEPS)]:
+        for i in some:
+            take(i, 1)
+        rest = best_fit(left, capacity)
+        n = int(planned.sum()) + sum(k for _, k in rest)
+        if fewest is None or n <= fewest:
+            best, fewest = (planned.copy(), rest), n
+    made = [(tuple(int(v) for v in row if v), int(n)) for row, n in zip(patterns, best[0], strict=True) if n]
+    return ([((capacity,), full)] if full else []) + made + best[1]
 
 
 def best_fit(left: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:

@@ -9,6 +9,7 @@ last to the end of the text.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import pyarrow as pa
@@ -21,6 +22,8 @@ CHUNK, OVERLAP = 1 << 15, 256
 CALL_CHARS = 1 << 18
 VOCABULARY = "byte_bpe_50k.json"
 _SIGNS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+#: Where ``stable`` may hold.
+_MAYBE = re.compile(r"(?<=[\w!-/:-@\[-`{-~])[ \n\t\r]")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -67,9 +70,10 @@ class Resynchroniser:
             right, right_starts = self._encode(text, end, right_end)
             common = set(starts).intersection(right_starts)
             at = min((p for p in common if end < p < covered and stable(text, p)), default=None)
-            if at is None:  # widen: the left chunk goes on further, to twice the overlap
+            if at is None:  # widen: the left chunk goes on further, to twice the overlap and beyond the next place that may be stable
                 self.widened += 1
-                overlap *= 2
+                there = next((m.start() for m in _MAYBE.finditer(text, covered) if stable(text, m.start())), n)
+                overlap = max(2 * overlap, there + 2 - end)
                 covered = min(n, end + overlap)
                 ids, starts = self._encode(text, begin, covered)
                 continue

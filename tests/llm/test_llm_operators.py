@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -371,16 +372,35 @@ def test_shards_round_trip_and_resume(spark, docs, empty, tmp_path):
         want.update((r.doc_id, i, tuple(ids[s : s + length])) for i, s in enumerate(range(0, len(ids), length)))
     assert Counter((r.doc_id, r.piece, tuple(read[r.slot].tolist())) for r in got) == want
     assert [x.tolist() for x in training_order.read_slots(folder, 95, 10, length, per)] == [x.tolist() for x in read[95:105]]
-    for p in (tmp_path / "shards").glob("shard-*"):
-        before = p.stat().st_mtime_ns
-    last = p
+    last = max((tmp_path / "shards").glob("shard-*.bin"))
+    before = last.stat().st_mtime_ns
     (tmp_path / "shards" / training_order.shard_name(0)).unlink()
-    again = {(r.doc_id, r.piece, r.slot, r.ids_crc32) for r in plan.collect()}
+    rows = lambda plan: {(r.doc_id, r.piece, r.slot, r.ids_crc32) for r in plan.collect()}
+    again = rows(training_order.materialise(docs, folder, length=length, per_shard=per))
     assert again == {(r.doc_id, r.piece, r.slot, r.ids_crc32) for r in got} and last.stat().st_mtime_ns == before
     assert (tmp_path / "shards" / training_order.shard_name(0)).exists()
     assert training_order.materialise(empty, str(tmp_path / "none")).count() == 0
 
 
+def test_shards_follow_a_changed_corpus_and_wide_ids(spark, tmp_path, monkeypatch):
+    folder, tok = str(tmp_path / "s"), load_tokenizer(PATH)
+    for some in (["one two three", "four five"], ["six one two", "nine five"]):  # the same sizes
+        docs = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").coalesce(1)
+        got = training_order.materialise(docs, folder, length=16, per_shard=1)
+        (tmp_path / "s" / ".shard-00000000.bin.77").write_bytes(b"of an attempt that failed")
+        got = training_order.materialise(docs, folder, length=16, per_shard=1).limit(1).collect() and got
+        read = training_order.read_slots(folder, 0, 2, 16, 1)
+        for r in got.collect():
+            assert read[r.slot].tolist() == [*tok.encode(some[r.doc_id], add_special_tokens=False).ids, 2] and zlib.crc32(read[r.slot].astype("<u4").tobytes()) == r.ids_crc32
+        assert not list((tmp_path / "s").glob(".shard*"))
+    first = training_order.materialise(docs, length=16)  # the default folder is found again
+    root = next(Path(training_order.shared_dir(spark).removeprefix("file:")).glob("latticework/shards-*/shard-00000000.bin")).parent.parent
+    stamps = {p: p.stat().st_mtime_ns for p in root.glob("shards-*/*")}
+    assert training_order.materialise(docs, length=16).count() == first.count() == 2 and {p: p.stat().st_mtime_ns for p in root.glob("shards-*/*")} == stamps
+    with pytest.raises(ValueError):
+        training_order.materialise(docs, folder, length=70_000)
+
+
 def test_exact_dedup(docs, empty):
     rows = docs.collect()
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
