@@ -108,6 +108,50 @@ def field_outcome(field: Field, a: Column, b: Column, varied: Column | None) ->
     return F.struct(F.lit(field.name).alias("name"), outcome.alias("outcome"), (confidence * field.weight).alias("w"), F.array(*map(F.lit, field.alt)).cast("array<string>").alias("alt"))
 
 
+def by_fields(registry: Registry, category: Column, of) -> Column:
+    """``of(fields)`` of a row's category; categories with the same fields share one expression. Null where the category has none."""
+    alike: dict[tuple[Field, ...], list[str]] = {}
+    for name, fields in registry.items():
+        alike.setdefault(fields, []).append(name)
+    return F.coalesce(*[F.when(category.isin(*names), of(fields)) for fields, names in alike.items()])
+
+
+def hard_slots(registry: Registry = REGISTRY) -> int:
+    return max((sum(f.hard for f in fields) for fields in registry.values()), default=0)
+
+
+def slots(category: Column, attributes: Column, registry: Registry = REGISTRY) -> list[Column]:
+    """Structs (num, str): the value of each category's first, second, ... veto field. Cheap to compare for very many pairs, as no map is searched."""
+
+    def at(j: int) -> Column:
+        names: dict[str, list[str]] = {}
+        for category_name, fields in registry.items():
+            for f in [f for f in fields if f.hard][j : j + 1]:
+                names.setdefault(f.name, []).append(category_name)
+        value = F.coalesce(*[F.when(category.isin(*c), attributes[n]) for n, c in names.items()])
+        return F.struct(value.num.alias("num"), value.str.alias("str"))
+
+    return [at(j) for j in range(hard_slots(registry))]
+
+
+def slot_veto(category: Column, a: list[Column], b: list[Column], registry: Registry = REGISTRY) -> Column:
+    """``first_veto`` of two records' slots. Fields that compare alike share one expression."""
+
+    def at(j: int) -> Column:
+        kinds: dict[tuple, tuple[Field, list[str]]] = {}
+        names: dict[str, list[str]] = {}
+        for category_name, fields in registry.items():
+            for f in [f for f in fields if f.hard][j : j + 1]:
+                special = f.name if f.name in ("connection", "standard") else f.name in GRADE_FIELDS
+                kinds.setdefault((f.kind, f.exact and f.kind == "num", special), (f, []))[1].append(category_name)
+                names.setdefault(f.name, []).append(category_name)
+        stated = (a[j].num.isNotNull() | a[j].str.isNotNull()) & (b[j].num.isNotNull() | b[j].str.isNotNull())
+        differ = F.coalesce(*[F.when(category.isin(*c), compare(f, a[j], b[j], True) == "mismatch") for f, c in kinds.values()], F.lit(False))
+        return F.when(stated & differ, F.coalesce(*[F.when(category.isin(*c), F.lit(n)) for n, c in names.items()]))
+
+    return F.coalesce(*[at(j) for j in range(len(a))], F.lit(None).cast("string"))
+
+
 def first_veto(category: Column, a: Column, b: Column, registry: Registry = REGISTRY) -> Column:
     """Name of the first veto field that both state differently: ``agreement``'s blocked_by inside a category, without the rest of the evidence, so that it is cheap.
 
@@ -118,7 +162,7 @@ def first_veto(category: Column, a: Column, b: Column, registry: Registry = REGI
         named = [F.when(a[f.name].isNotNull() & b[f.name].isNotNull() & (compare(f, a[f.name], b[f.name], True) == "mismatch"), f.name) for f in fields if f.hard]
         return F.coalesce(*named, F.lit(None).cast("string"))
 
-    return F.coalesce(*[F.when(category == name, of(fields)) for name, fields in registry.items()], F.lit(None).cast("string"))
+    return F.coalesce(by_fields(registry, category, of), F.lit(None).cast("string"))
 
 
 def outcomes(category: Column, a: Column, b: Column, registry: Registry = REGISTRY, varied: Column | None = None) -> Column:
@@ -126,7 +170,7 @@ def outcomes(category: Column, a: Column, b: Column, registry: Registry = REGIST
 
     ``varied``: names of fields that the registry has seen in several values for this item; silence of both sides on one of them is a doubt.
     """
-    made = F.coalesce(*[F.when(category == name, F.array(*[field_outcome(f, a, b, varied) for f in fields])) for name, fields in registry.items()])
+    made = by_fields(registry, category, lambda fields: F.array(*[field_outcome(f, a, b, varied) for f in fields]))
     return F.filter(made, lambda o: o.outcome != "silent")
 
 

@@ -106,12 +106,16 @@ def mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.mappings(members.join(key, item_key()).withColumn("band", F.lit("auto")))
 
 
-def _gate(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
+def _gate_rows(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
     """Every part asks whether its item is catalogued; the catalogue are the first parts of the items with ``least`` parts or more."""
     whole = records(spark, sf_dir)
     golden = whole.groupBy(*item_key()).agg(F.count(F.lit(1)).alias("n"), F.min("record_id").alias("first")).where(F.col("n") >= least).select("first")
     catalogue = whole.join(golden, F.col("record_id") == F.col("first")).select(F.col("record_id").alias("code"), "category", "attributes", "description")
-    return gate.verdicts(whole.select(F.col("record_id").alias("request"), "category", "attributes", "description"), catalogue, REGISTRY).select("request", "verdict", "best", "best_score", "n_candidates", "n_refused", "compared_against")
+    return gate.verdicts(whole.select(F.col("record_id").alias("request"), "category", "attributes", "description"), catalogue, REGISTRY)
+
+
+def _gate(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
+    return _gate_rows(spark, sf_dir, least).select("request", "verdict", "best", "best_score", "n_candidates", "n_refused", "compared_against")
 
 
 def gate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +128,15 @@ def gate_all_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gate(spark, sf_dir, 1)
 
 
-QUERIES = {f.__name__: f for f in (blocking_keys, blocking_candidates, blocking_quality, blocking_missed, knn_within_label, spec_outcomes, pair_scores, veto_counts, counterfactual_scores, pair_explanations, clusters, golden_records, national_codes, mappings, gate_verdicts, gate_all_codes)}
+def gate_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the gate shows of the whole catalogue: up to four candidates by score, and up to four refused codes by likeness of text, with the field that refuses."""
+    rows = _gate_rows(spark, sf_dir, 1).select("request", "candidates", "distinguished_from")
+    found = rows.select("request", F.explode("candidates").alias("x")).select("request", F.lit("candidate").alias("list"), F.col("x.rn").cast("long").alias("rn"), "x.code", F.col("x.final").alias("value"), F.lit(None).cast("string").alias("blocked_by"))
+    shut = rows.select("request", F.explode("distinguished_from").alias("x")).select("request", F.lit("refused").alias("list"), F.col("x.rn").cast("long").alias("rn"), "x.code", half_up("x.text", 6).alias("value"), "x.blocked_by")
+    return found.union(shut)
+
+
+QUERIES = {f.__name__: f for f in (blocking_keys, blocking_candidates, blocking_quality, blocking_missed, knn_within_label, spec_outcomes, pair_scores, veto_counts, counterfactual_scores, pair_explanations, clusters, golden_records, national_codes, mappings, gate_verdicts, gate_all_codes, gate_shown)}
 
 _VALUE = "upper(replace({0}, '_', ' '))"
 _SIZE = "CASE WHEN size = 0 THEN '0.0' ELSE (round_even(size / pow(10.0, floor(log10(abs(size))) - 1), 0) * pow(10.0, floor(log10(abs(size))) - 1))::DOUBLE::VARCHAR END"
@@ -242,4 +254,12 @@ SELECT record_id AS request, CASE WHEN final >= 0.9 THEN 'EXISTS' WHEN final >=
        coalesce(n_candidates, 0) AS n_candidates, coalesce(n_refused, 0) AS n_refused, (SELECT count(*) FROM cat) AS compared_against
 FROM parts LEFT JOIN c ON c.request = record_id LEFT JOIN b ON b.request = record_id AND rn = 1""",
 }
+_GATE = ORACLE_SQL["gate_verdicts"].replace(" HAVING count(*) >= 2", "")
+ORACLE_SQL["gate_shown"] = (
+    _GATE[: _GATE.index("SELECT record_id AS request, CASE")].rstrip()
+    + f""",
+t AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY text DESC, code) AS rn FROM f WHERE refused)
+SELECT request, 'candidate' AS list, rn, code, final AS value, NULL::VARCHAR AS blocked_by FROM b WHERE rn <= 4
+UNION ALL SELECT request, 'refused', rn, code, {R("text", 6)}, CASE WHEN d_adj THEN 'adjective' WHEN d_type THEN 'type' ELSE 'size' END FROM t WHERE rn <= 4"""
+)
 ORACLE_SQL["gate_all_codes"] = ORACLE_SQL["gate_verdicts"].replace(" HAVING count(*) >= 2", "")

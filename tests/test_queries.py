@@ -96,3 +96,12 @@ def test_the_rest_stands_without_the_training_data_subpackage():
     for p in Path(__file__).resolve().parent.parent.glob("latticework/**/*.py"):
         if "llm" not in p.parts:
             assert "llm" not in p.read_text(), p
+
+
+def test_gate_in_blocks_is_the_gate(spark, monkeypatch):
+    from latticework.operators import gate
+
+    whole = sorted(map(tuple, __spark_entry__.queries()["gate_shown"](spark, SF).collect()), key=str)
+    for name, value in (("BROADCAST_BYTES", 0), ("BLOCK_CODES", 40), ("SHARE_REQUESTS", 60), ("WORDS", 1)):
+        monkeypatch.setattr(gate, name, value)
+    assert sorted(map(tuple, __spark_entry__.queries()["gate_shown"](spark, SF).collect()), key=str) == whole
