@@ -101,7 +101,7 @@ def test_the_rest_stands_without_the_training_data_subpackage():
 def test_gate_in_blocks_is_the_gate(spark, monkeypatch):
     from latticework.operators import gate
 
-    whole = sorted(map(tuple, __spark_entry__.queries()["gate_shown"](spark, SF).collect()), key=str)
+    whole = sorted(map(tuple, QUERIES["gate_shown"](spark, SF).collect()), key=str)
     for name, value in (("BROADCAST_BYTES", 0), ("BLOCK_CODES", 40), ("SHARE_REQUESTS", 60), ("WORDS", 1)):
         monkeypatch.setattr(gate, name, value)
-    assert sorted(map(tuple, __spark_entry__.queries()["gate_shown"](spark, SF).collect()), key=str) == whole
+    assert sorted(map(tuple, QUERIES["gate_shown"](spark, SF).collect()), key=str) == whole
