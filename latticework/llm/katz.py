@@ -1,19 +1,24 @@
 """[5] Language-model scores by Katz backoff.
 
-A bigram's Good-Turing discounted probability is used where the bigram was seen; else the model backs off to the word's own discounted probability, times
-a weight of the history that makes all probabilities after it add up to one exactly; a word that wasn't seen has what the seen ones leave.
+An n-gram's Good-Turing discounted probability is used where the n-gram was seen; else the model backs off to the n-gram without its first word, times a
+weight of the history that makes all probabilities after it add up to one exactly, and so on down to the word's own discounted probability; a word
+that wasn't seen has what the seen ones leave.
 
-Counts are kept in tables dealt by hash. Sending every token's question to them would move each bigram of the corpus several times with its document's
-id; instead a task reads documents up to a number of tokens (a block), asks for each distinct bigram and word of the block once, and gets
-the answers in the order of its questions, so that they need no keys:
+Counts are kept in tables dealt by hash. Sending every token's question to them would move each n-gram of the corpus several times with its document's
+id; instead a task reads documents up to a number of tokens (a block), asks for each distinct n-gram of the block once, and gets the answers in
+the order of its questions, so that they need no keys:
 
-1. blocks: each document as numbers of the block's own vocabulary (kept), and the distinct words and bigrams with their training counts (asked);
-2. tables of counts: total of every word and bigram, back to each block that asked; one of the blocks is told that it owns the bigram. The counts of counts
+1. blocks: each document as numbers of the block's own vocabulary (kept), and the distinct n-grams with their training counts (asked);
+2. tables of counts: total of every n-gram, back to each block that asked; one of the blocks is told that it owns the n-gram. The counts of counts
    add up to a few numbers, from which the discounts follow;
-3. blocks: hits and misses of each document, and for each history the parts of its backoff weight from the bigrams that the block owns;
-4. tables of backoff weights, back to the blocks that miss after that history;
+3. blocks: hits and misses, and for each history the parts of its backoff weight from the n-grams that the block owns. A history that
+   no other block has needs nobody else;
+4. tables of backoff weights, back to the blocks that ask;
 5. blocks: the scores.
 
+A block sends to ``FANOUT`` places at most. Where the tables have more parts, these places are nodes that merge what some ``FANOUT`` blocks ask and send
+on in their turn; answers go back the same way. So the rows that are written grow as the blocks do, at every size.
+
 What is kept between the steps is written to the shared folder, so that a lost executor costs its tasks alone.
 """
 
@@ -35,13 +40,18 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, crc_mod, discard, shuffle_partitions, stored, texts
 
 FOLDS, HELD_OUT = 5, 1
+#: Words of a history and the word it leads to.
+ORDER = 3
 #: Tokens of a block, and of the corpus for each part of the tables.
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 1_000_000
+#: Parts that a block, or a node on the way, sends to. A corpus with more parts is dealt in several hops, so that what is sent grows with the corpus alone.
+FANOUT = 128
 #: Counts up to this are discounted.
 MOST_DISCOUNTED = 5
 #: No word has these names, as they are white space.
 END, START = b"\n", b" "
-PLAN, WORDS, BIGRAMS, WEIGHTS, STATE = 0, 1, 2, 3, 4
+#: Kinds of rows: a block, what a block keeps, counts of n-grams of length k (k), weights of histories of length k (WEIGHT + k), and answers to both (ANSWER more).
+PLAN, STATE, WEIGHT, ANSWER = 0, -1, 100, 1000
 _KEY_BYTES = 6
 _C = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -80,67 +90,108 @@ def discounts(n: list[int], most: int = MOST_DISCOUNTED) -> np.ndarray:
 class Model:
     """The few numbers that hold for the whole corpus."""
 
-    def __init__(self, words: list[int], bigrams: list[int], tokens: int, vocabulary: int, discounted_tokens: np.ndarray):
-        """words, bigrams: counts of counts. discounted_tokens: tokens of words that were seen r times, for each r that may be discounted."""
-        self.tokens, self.vocabulary = tokens, vocabulary
-        self.word_factor, self.bigram_factor = discounts(words), discounts(bigrams)
+    def __init__(self, counts: list[list[int]], tokens: int, vocabulary: int):
+        """counts: for each length of n-grams, how many were seen r times."""
+        self.order, self.tokens, self.vocabulary = len(counts), tokens, vocabulary
+        self.factors = [discounts(c) for c in counts]
         self.rest = 1 / (tokens + 1)  # every distribution leaves at least this to the unseen
-        kept = tokens - sum(discounted_tokens[r] * (1 - self.word_factor[r]) for r in range(1, len(self.word_factor)))
+        kept = tokens - sum(r * counts[0][r] * (1 - self.factors[0][r]) for r in range(1, len(self.factors[0])))
         self.unknown = 1 - (1 - self.rest) * kept / tokens if tokens else 1.0
 
-    @staticmethod
-    def _factor(table: np.ndarray, c: np.ndarray) -> np.ndarray:
+    def _factor(self, length: int, c: np.ndarray) -> np.ndarray:
+        table = self.factors[length - 1]
         return np.where(c < len(table), table[np.minimum(c, len(table) - 1)], 1.0)
 
     def word(self, c: np.ndarray) -> np.ndarray:
         """Probability of words by their counts."""
         if not self.tokens:
             return np.ones(len(c))
-        return np.where(c > 0, (1 - self.rest) * self._factor(self.word_factor, c) * c / self.tokens, self.unknown)
+        return np.where(c > 0, (1 - self.rest) * self._factor(1, c) * c / self.tokens, self.unknown)
 
-    def seen(self, c: np.ndarray, history: np.ndarray) -> np.ndarray:
-        """Probability of bigrams that were seen c times after a history that was seen ``history`` times."""
-        return (1 - self.rest) * self._factor(self.bigram_factor, c) * c / np.maximum(history, 1)
+    def seen(self, length: int, c: np.ndarray, history: np.ndarray) -> np.ndarray:
+        """Probability of n-grams that were seen c times after a history that was seen ``history`` times."""
+        return (1 - self.rest) * self._factor(length, c) * c / np.maximum(history, 1)
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.vocabulary + 1)))
 
 
+class Grams:
+    """The distinct n-grams of one length in a block. ``ids``: the one that ends at each token; ``first``: the n-gram without its last word, ``shorter``: without its
+    first, both as numbers among those one shorter; ``start``: the one made of starts alone, which is the history of a document's first word."""
+
+    def __init__(self, ids: np.ndarray, first: np.ndarray, shorter: np.ndarray, marks: np.ndarray, start: int):
+        self.ids, self.first, self.shorter, self.marks, self.start = ids, first, shorter, marks, start
+
+    def __len__(self) -> int:
+        return len(self.marks)
+
+    @classmethod
+    def longer(cls, short: Grams, words: Grams, starts: np.ndarray) -> Grams:
+        before = np.empty_like(short.ids)
+        before[1:] = short.ids[:-1]
+        before[starts] = short.start
+        size = len(words)
+        found, at = np.unique(np.append(before * size + words.ids, short.start * size + words.start), return_inverse=True)
+        first, last = found // size, found % size
+        shorter = np.zeros(len(found), np.int64)
+        shorter[at] = np.append(short.ids, short.start)
+        with np.errstate(over="ignore"):
+            marks = mixed(short.marks[first] * _C[0] + mixed(words.marks[last] * _C[1]))
+        return cls(at[:-1], first, shorter, marks, int(at[-1]))
+
+
+def start_mark(length: int) -> np.uint64:
+    """Of the n-gram made of starts alone."""
+    word = np.array([xxhash.xxh3_64_intdigest(START)], np.uint64)
+    mark = word
+    for _ in range(length - 1):
+        with np.errstate(over="ignore"):
+            mark = mixed(mark * _C[0] + mixed(word * _C[1]))
+    return mark[0]
+
+
+def place(marks: np.ndarray, parts: int) -> np.ndarray:
+    """The part that holds a hash: equal ranges of its upper half."""
+    return (((marks >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
+def hops(parts: int) -> list[int]:
+    """How many places there are at each hop, the parts of the tables last."""
+    out = [parts]
+    while out[0] > FANOUT:
+        out.insert(0, -(-out[0] // FANOUT))
+    return out
+
+
 class Block:
     """Documents as numbers. Word 0 is the end, word 1 the start; ``lengths`` are tokens with the end."""
 
-    def __init__(self, keys: list, held: np.ndarray, lengths: np.ndarray, current: np.ndarray, hashes: np.ndarray, parts: int):
-        self.keys, self.held, self.lengths, self.current, self.hashes, self.parts = keys, held, lengths, current, hashes, parts
-        before = np.empty_like(current)
-        before[1:] = current[:-1]
-        before[np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)] = 1
-        size = len(hashes)
-        pairs, self.pair_of = np.unique(before.astype(np.int64) * size + current, return_inverse=True)
-        self.first, self.second = pairs // size, pairs % size
+    def __init__(self, keys: list, held: np.ndarray, lengths: np.ndarray, current: np.ndarray, hashes: np.ndarray, order: int):
+        self.keys, self.held, self.lengths, self.current, self.hashes, self.order = keys, held, lengths, current, hashes, order
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+        words = Grams(current.astype(np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), hashes, 1)
+        self.grams = [words]
+        for _ in range(order - 1):
+            self.grams.append(Grams.longer(self.grams[-1], words, starts))
         self.document = np.repeat(np.arange(len(lengths)), lengths)
-        with np.errstate(over="ignore"):
-            marks = mixed(hashes[self.first] * _C[0] + mixed(hashes[self.second] * _C[1]))
-        self.word_part, self.pair_part = (hashes >> np.uint64(48)) % np.uint64(parts), (marks >> np.uint64(48)) % np.uint64(parts)
-        self.marks = marks
 
     def pack(self) -> bytes:
-        return pickle.dumps((self.keys, squeeze(self.held), squeeze(self.lengths), squeeze(self.current.astype(np.int32)), squeeze(self.hashes), self.parts))
+        return pickle.dumps((self.keys, squeeze(self.held), squeeze(self.lengths), squeeze(self.current.astype(np.int32)), squeeze(self.hashes), self.order))
 
     @classmethod
     def unpack(cls, data: bytes) -> Block:
-        keys, held, lengths, current, hashes, parts = pickle.loads(data)
-        return cls(keys, unsqueeze(held, "?"), unsqueeze(lengths, "<i8"), unsqueeze(current, "<i4"), unsqueeze(hashes, "<u8"), parts)
+        keys, held, lengths, current, hashes, order = pickle.loads(data)
+        return cls(keys, unsqueeze(held, "?"), unsqueeze(lengths, "<i8"), unsqueeze(current, "<i4"), unsqueeze(hashes, "<u8"), order)
 
-    def questions(self) -> Iterator[tuple[int, int, bytes, bytes]]:
-        """(kind, part, keys, training counts)"""
-        learn = ~self.held[self.document]
-        words = np.bincount(self.current[learn], minlength=len(self.hashes))
-        words[1] = (~self.held).sum()
-        pairs = np.bincount(self.pair_of[learn], minlength=len(self.first))
-        low = self.marks.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES]
-        for kind, where, keys, counts in ((WORDS, self.word_part, self.hashes.astype("<u8").view(np.uint8).reshape(-1, 8), words), (BIGRAMS, self.pair_part, low, pairs)):
-            for part, at in split(where):
-                yield kind, part, np.ascontiguousarray(keys[at]).tobytes(), squeeze(counts[at].astype("<u4"))
+    def counts(self) -> list[np.ndarray]:
+        """Training counts. A history of starts alone counts the training documents."""
+        learn, out = ~self.held[self.document], []
+        for g in self.grams:
+            c = np.bincount(g.ids[learn], minlength=len(g))
+            c[g.start] = (~self.held).sum()
+            out.append(c)
+        return out
 
 
 def split(where: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -162,15 +213,26 @@ def scatter(size: int, where: np.ndarray, answers: dict[int, bytes], kind: str)
     return out
 
 
-_ROW = "block string, part int, data binary, counts binary, kind int"
-_SCHEMA = pa.schema([("block", pa.string()), ("part", pa.int32()), ("data", pa.binary()), ("counts", pa.binary()), ("kind", pa.int32())])
+_ROW = "block string, part long, data binary, counts binary, kind int"
+_SCHEMA = pa.schema([("block", pa.string()), ("part", pa.int64()), ("data", pa.binary()), ("counts", pa.binary()), ("kind", pa.int32())])
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(_SCHEMA), _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
-def _blocks(parts: int, size: int):
+def _listed(table: pa.Table, *columns: str) -> list[tuple]:
+    return list(zip(*[table.column(c).to_pylist() for c in columns], strict=True))
+
+
+def _asked(name: str, kind: int, marks: np.ndarray, values: np.ndarray, parts: int, short: bool) -> Iterator[tuple]:
+    """A row for each part: the hashes, and a row of values for each."""
+    raw = marks.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _KEY_BYTES if short else 8]
+    for part, at in split(place(marks, parts)):
+        yield name, part, np.ascontiguousarray(raw[at]).tobytes(), squeeze(np.ascontiguousarray(values[:, at]).ravel()), kind
+
+
+def _blocks(size: int, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list = []
         held: list[bool] = []
@@ -181,8 +243,7 @@ def _blocks(parts: int, size: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in numbers], np.uint64)
-            block = Block(list(keys), np.array(held, bool), np.array(lengths, np.int64), np.array(current, np.int32), hashes, parts)
-            data = block.pack()
+            data = pickle.dumps((list(keys), squeeze(np.array(held, bool)), squeeze(np.array(lengths, np.int64)), squeeze(np.array(current, np.int32)), squeeze(hashes), order))
             # blocks of the same content have names of their own; they are stored before a name is used, so a rerun does no harm
             yield from _rows([(f"{xxhash.xxh3_128_hexdigest(data)}-{partition}-{next(flushed)}", -1, data, b"", PLAN)]).to_batches()
             for x in (keys, held, lengths, current):
@@ -206,80 +267,164 @@ def _blocks(parts: int, size: int):
     return run
 
 
-def _questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the blocks that are kept: the same each time."""
-    for batch in batches:
-        for name, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            rows = [(name, part, marks, counts, kind) for kind, part, marks, counts in Block.unpack(data).questions()]
-            yield from _rows(rows).to_batches(max_chunksize=64)
+def _questions(length: int, parts: int, short: bool):
+    """For the counts of n-grams of one length, from the blocks that are kept: the same each time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                block = Block.unpack(data)
+                rows = list(_asked(name, length, block.grams[length - 1].marks, block.counts()[length - 1][None].astype("<i8"), parts, short))
+                yield from _rows(rows).to_batches(max_chunksize=64)
+
+    return run
 
 
 _COUNTS = MOST_DISCOUNTED + 2
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(_COUNTS + 2, np.int64)
+    for batch in batches:
+        for data in batch.column(0).to_pylist():
+            total += np.frombuffer(data, "<i8")
+    yield pa.RecordBatch.from_pydict({"data": pa.array([total.tobytes()], pa.binary())})
+
+
+class Asked:
+    """The questions that meet in one place, in a stable order, and their distinct hashes."""
+
+    def __init__(self, rows: list[tuple[str, int, bytes, bytes]], kind: int):
+        self.rows, self.kind, self.weigh = sorted(rows), kind, kind >= WEIGHT
+        columns = 2 if self.weigh else 1
+        width = len(rows[0][2]) * columns // len(unsqueeze(rows[0][3], "<i8"))  # bytes of a hash
+        raw = np.frombuffer(b"".join(r[2] for r in self.rows), np.uint8).reshape(-1, width)
+        keys = np.zeros((len(raw), 8), np.uint8)
+        keys[:, :width] = raw
+        self.sizes = [len(r[2]) // width for r in self.rows]
+        self.found, self.entry = np.unique(keys.view("<u8").ravel(), return_inverse=True)
+        kept = [unsqueeze(r[3], "<f8" if self.weigh else "<i8").reshape(-1, n) for r, n in zip(self.rows, self.sizes, strict=True)]
+        self.values = np.concatenate(kept, 1)
+        self.sums = np.stack([np.bincount(self.entry, v, len(self.found)) for v in self.values])
+        if not self.weigh:
+            self.sums = np.rint(self.sums).astype(np.int64)
+
+    def answers(self, of_found: np.ndarray) -> pa.Table:
+        """A row for each question, from the answer for each hash. Of those who have counts of an n-gram, the first gets the mark of its owner (1); who alone has it, even
+        in texts that are held out, gets the mark of that (2)."""
+        out = of_found[self.entry]
+        if not self.weigh:
+            trained = np.flatnonzero(self.values[0])
+            marks = 2 * (np.bincount(self.entry, minlength=len(self.found)) == 1)[self.entry]
+            marks[trained[np.unique(self.entry[trained], return_index=True)[1]]] += 1
+            out = (out & ~3) | (out & marks)
+        made, at = [], 0
+        for (block, part, _, _), n in zip(self.rows, self.sizes, strict=True):
+            made.append((block, part, squeeze(out[at : at + n].astype("<f8" if self.weigh else "<i8")), b"", self.kind + ANSWER))
+            at += n
+        return _rows(made)
+
+
+def _met(table: pa.Table) -> Asked:
+    return Asked(_listed(table, "block", "part", "data", "counts"), table.column("kind")[0].as_py())
+
+
 def _totals(table: pa.Table) -> pa.Table:
-    """Answers of one part of one table of counts, and its counts of counts (in a row without block)."""
-    kind, part = table.column("kind")[0].as_py(), table.column("part")[0].as_py()
-    rows = sorted(zip(table.column("block").to_pylist(), table.column("data").to_pylist(), table.column("counts").to_pylist(), strict=True))
-    width = 8 if kind == WORDS else _KEY_BYTES
-    raw = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(-1, width)
-    keys = np.zeros((len(raw), 8), np.uint8)
-    keys[:, :width] = raw
-    counts = np.concatenate([unsqueeze(r[2], "<u4") for r in rows]).astype(np.int64)
-    found, entry = np.unique(keys.view("<u8").ravel(), return_inverse=True)
-    total = np.bincount(entry, counts, len(found)).astype(np.int64)
-    owned = np.zeros(len(counts), np.int64)
-    trained = np.flatnonzero(counts)
-    owned[trained[np.unique(entry[trained], return_index=True)[1]]] = 1
-    answer = total[entry] * 2 + owned
-    out, at = [], 0
-    for block, data, _ in rows:
-        n = len(data) // width
-        out.append((block, part, squeeze(answer[at : at + n].astype("<i8")), b"", kind))
-        at += n
-    real = total[(found != np.uint64(xxhash.xxh3_64_intdigest(START)))] if kind == WORDS else total
+    """Answers of one part of the tables: for counts the total (times 4) with both marks, and the counts of counts in a row without block; for weights their logarithm."""
+    met = _met(table)
+    if met.weigh:
+        seen, lower = met.sums
+        return met.answers(np.log10(np.maximum(1 - seen, 1e-300) / np.maximum(1 - lower, 1e-300)))
+    total, start = met.sums[0], start_mark(met.kind)
+    same = met.found == (start if len(met.rows[0][2]) == 8 * met.sizes[0] else start & np.uint64((1 << 8 * _KEY_BYTES) - 1))
+    real = total[~same]
     summary = np.append(np.bincount(np.minimum(real, _COUNTS), minlength=_COUNTS + 1)[:_COUNTS], [real.sum(), (real > 0).sum()])
-    out.append(("", part, summary.astype("<i8").tobytes(), b"", kind))
-    return _rows(out)
+    return pa.concat_tables([met.answers(total * 4 + 3), _rows([("", met.rows[0][1], summary.astype("<i8").tobytes(), b"", met.kind + ANSWER)])])
+
 
+def _merged(parts: int):
+    """A node's questions: the distinct ones of those that reach it, to the places of the next hop."""
 
-def _hits(model: Model):
-    """Steps 3: from a block and its counts, what its documents have without backoff weights, and the questions for these."""
+    def run(table: pa.Table) -> pa.Table:
+        met = _met(table)
+        return _rows(list(_asked(table.column("node")[0].as_py(), met.kind, met.found, met.sums.astype("<f8" if met.weigh else "<i8"), parts, False)))
+
+    return run
+
+
+def _returned(parts: int):
+    """A node's answers to those who asked it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = _listed(table, "block", "part", "data", "counts", "kind")
+        asked = [r for r in rows if r[4] < ANSWER]
+        met = Asked([r[:4] for r in asked], asked[0][4])
+        got = {part: data for _, part, data, _, kind in rows if kind >= ANSWER}
+        return met.answers(scatter(len(met.found), place(met.found, parts), got, "<f8" if met.weigh else "<i8"))
+
+    return run
+
+
+def exchange(questions: DataFrame, sources: int, places: list[int], made: list[str]) -> DataFrame:
+    """Answers to all questions (rows without block: counts of counts). ``places``: of every hop; ``made`` gets the paths of what is stored on the way."""
+    if len(places) == 1:
+        return questions.groupBy("kind", "part").applyInArrow(_totals, _ROW)
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df, path = stored(df, name)
+        made.append(path)
+        return df
+
+    questions = kept(questions, "asked")
+    groups = -(-sources // FANOUT)
+    at = questions.withColumn("node", F.concat_ws("-", "kind", "part", F.pmod(F.xxhash64("block"), F.lit(groups))))
+    below = kept(exchange(at.groupBy("node").applyInArrow(_merged(places[1]), _ROW), groups, places[1:], made), "answers")
+    answers = below.where("block != ''").withColumn("node", F.col("block"))
+    return at.unionByName(answers).groupBy("node").applyInArrow(_returned(places[1]), _ROW).unionByName(below.where("block = ''"))
+
+
+def _hits(model: Model, parts: int):
+    """Step 3: from a block and its counts, what its documents have without backoff weights, and the questions for these."""
 
     def run(table: pa.Table) -> pa.Table:
-        block, answers, name = None, {WORDS: {}, BIGRAMS: {}}, table.column("block")[0].as_py()
-        for kind, part, data in zip(table.column("kind").to_pylist(), table.column("part").to_pylist(), table.column("data").to_pylist(), strict=True):
+        block, answers, name = None, {k: {} for k in range(1, model.order + 1)}, table.column("block")[0].as_py()
+        for kind, part, data in _listed(table, "kind", "part", "data"):
             if kind == PLAN:
                 block = Block.unpack(data)
             else:
-                answers[kind][part] = data
-        words = scatter(len(block.hashes), block.word_part, answers[WORDS], "<i8") >> 1
-        pairs = scatter(len(block.first), block.pair_part, answers[BIGRAMS], "<i8")
-        own, pairs = pairs & 1, pairs >> 1
-        word_p = model.word(words)
-        seen_p = model.seen(pairs, words[block.first])
-        hit = pairs > 0
-        pair_log = np.log10(np.where(hit, seen_p, word_p[block.second]))
-        n, documents = len(block.lengths), block.document
-        base_log, known = model.base(words), words > 0
-        miss = np.flatnonzero(~hit[block.pair_of])
-        mine = own > 0
-        seen_mass = np.bincount(block.first[mine], seen_p[mine], len(block.hashes))
-        word_mass = np.bincount(block.first[mine], word_p[block.second[mine]], len(block.hashes))
-        asked = np.zeros(len(block.hashes), bool)
-        asked[block.first[mine]] = True
-        asked[block.first[block.pair_of[miss]]] = True
-        asked = np.flatnonzero(asked)
-        out = []
-        for part, at in split(block.word_part[asked]):
-            at = asked[at]
-            out.append((name, part, block.hashes[at].astype("<u8").tobytes(), squeeze(np.concatenate([seen_mass[at], word_mass[at]]).astype("<f8")), WEIGHTS))
-        place = np.full(len(block.hashes), -1)
-        place[asked] = np.arange(len(asked))
+                answers[kind - ANSWER][part] = data
+        known = [scatter(len(g), place(g.marks, parts), answers[k], "<i8") for k, g in enumerate(block.grams, 1)]
+        own, total, n = [x & 1 for x in known], [x >> 2 for x in known], len(block.lengths)
+        direct = [model.word(total[0])]  # what each n-gram has of its own, 0 if it wasn't seen
+        hits, local, out = [], [], []
+        for k in range(2, model.order + 1):
+            g, history = block.grams[k - 1], block.grams[k - 2]
+            p = model.seen(k, total[k - 1], total[k - 2][g.first])
+            direct.append(p)
+            mine = own[k - 1] > 0
+            mine[g.start] = False
+            masses = np.stack([np.bincount(g.first[mine], x[mine], len(history)) for x in (p, direct[k - 2][g.shorter])])
+            alone = (known[k - 2] & 2) > 0  # a history that only this block has has all its continuations here, and nobody else asks
+            missed = np.zeros(len(history), bool)
+            missed[g.first[total[k - 1] == 0]] = True
+            asked = np.flatnonzero(~alone & (missed | (masses[0] > 0)))
+            out += _asked(name, WEIGHT + k - 1, history.marks[asked], masses[:, asked].astype("<f8"), parts, False)
+            with np.errstate(divide="ignore"):
+                weight = np.log10(np.maximum(1 - masses[0], 1e-300) / np.maximum(1 - masses[1], 1e-300))
+            place_of = np.full(len(history), -1)
+            place_of[asked] = np.arange(len(asked))
+            hits.append(total[k - 1] > 0)
+            local.append((np.packbits(place_of >= 0), squeeze(weight[(place_of < 0) & missed]), np.packbits(missed)))
+        # down from the longest: the first that was seen gives its own probability
+        level, at, score = model.order, np.arange(len(block.current)), np.zeros(n)
+        while level > 1:
+            found = hits[level - 2][block.grams[level - 1].ids[at]]
+            score += np.bincount(block.document[at[found]], np.log10(direct[level - 1][block.grams[level - 1].ids[at[found]]]), n)
+            at, level = at[~found], level - 1
+        score += np.bincount(block.document[at], np.log10(direct[0][block.current[at]]), n)
         state = {
-            "keys": block.keys, "held": block.held, "tokens": block.lengths,
-            "known": np.bincount(documents, known[block.current], n).astype(np.int64), "base": np.bincount(documents, base_log[block.current], n), "score": np.bincount(documents, pair_log[block.pair_of], n),
-            "part": squeeze(block.word_part[asked].astype("<i4")), "document": squeeze(documents[miss].astype("<i4")), "history": squeeze(place[block.first[block.pair_of[miss]]].astype("<i4")),
+            "known": np.bincount(block.document, total[0][block.current] > 0, n).astype(np.int64), "base": np.bincount(block.document, model.base(total[0])[block.current], n),
+            "score": score, "hits": [np.packbits(h) for h in hits], "local": local,
         }
         out.append((name, -1, zstandard.ZstdCompressor(level=1).compress(pickle.dumps(state)), b"", STATE))
         return _rows(out)
@@ -287,66 +432,81 @@ def _hits(model: Model):
     return run
 
 
-def _weights(table: pa.Table) -> pa.Table:
-    """Step 4: log10 of the backoff weights in one part, back to the blocks."""
-    part = table.column("part")[0].as_py()
-    rows = sorted(zip(table.column("block").to_pylist(), table.column("data").to_pylist(), table.column("counts").to_pylist(), strict=True))
-    found, entry = np.unique(np.frombuffer(b"".join(r[1] for r in rows), "<u8"), return_inverse=True)
-    masses = [unsqueeze(r[2], "<f8") for r in rows]
-    seen = np.bincount(entry, np.concatenate([m[: len(m) // 2] for m in masses]), len(found))
-    word = np.bincount(entry, np.concatenate([m[len(m) // 2 :] for m in masses]), len(found))
-    answer = np.log10(np.maximum(1 - seen, 1e-300) / np.maximum(1 - word, 1e-300))[entry]
-    out, at = [], 0
-    for block, data, _ in rows:
-        n = len(data) // 8
-        out.append((block, part, squeeze(answer[at : at + n].astype("<f8")), b"", WEIGHTS))
-        at += n
-    return _rows(out)
-
-
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def _finish(schema: pa.Schema, tokens: int, parts: int):
+    """Step 5: the backoff weights of all misses, added to what ``_hits`` kept."""
+
+    def run(table: pa.Table) -> pa.Table:
+        block, state, answers = None, {}, {}
+        for kind, part, data in _listed(table, "kind", "part", "data"):
+            if kind == PLAN:
+                block = Block.unpack(data)
+            elif kind == STATE:
+                state = pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+            else:
+                answers.setdefault(kind - ANSWER - WEIGHT, {})[part] = data
+        total, at, n = state["score"], np.arange(len(block.current)), len(block.lengths)
+        for k in range(block.order, 1, -1):
+            g, history = block.grams[k - 1], block.grams[k - 2]
+            outside, own, missed = state["local"][k - 2]
+            asked, missed = np.unpackbits(outside, count=len(history)).astype(bool), np.unpackbits(missed, count=len(history)).astype(bool)
+            weight = np.zeros(len(history))
+            weight[~asked & missed] = unsqueeze(own, "<f8")
+            where = np.flatnonzero(asked)
+            weight[where] = scatter(len(where), place(history.marks[where], parts), answers.get(k - 1, {}), "<f8")
+            seen = np.unpackbits(state["hits"][k - 2], count=len(g)).astype(bool)
+            at = at[~seen[g.ids[at]]]
+            total = total + np.bincount(block.document[at], weight[g.first[g.ids[at]]], n)
+        columns = [block.keys, block.held, block.lengths, state["known"], np.full(n, tokens), state["base"], total]
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     A null or empty text is its end alone. Rows that repeat are scored each, and counted each if they aren't held out. Without training texts every token is
     unknown and has probability 1. An empty table gives an empty result; other columns aren't read.
 
-    Words and bigrams are told apart by hashes: words by 64 bits, bigrams by 48 bits and their part of the table. With a million and a half tokens for each part, about
-    one bigram in a hundred million is taken for another.
+    Words and n-grams are told apart by hashes: words by 64 bits, n-grams by their part of the table and 48 bits (64 where there are several hops). With a
+    million tokens for each part, about one n-gram in a hundred million is taken for another.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark, kind = docs.sparkSession, docs.schema[key].dataType
     bounded_batches(spark)  # also of blocks, which are rows of some MB
     chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
-    parts = min(1 << 16, max(shuffle_partitions(spark), math.ceil(chars / 6 / block_tokens)))
-    plans, plans_path = stored(docs.select(key, text).mapInArrow(_blocks(parts, block_tokens), _ROW), "blocks")
-    counts, counts_path = stored(plans.mapInArrow(_questions, _ROW).groupBy("kind", "part").applyInArrow(_totals, _ROW), "counts", by="kind")
-    summed = {WORDS: np.zeros(_COUNTS + 2, np.int64), BIGRAMS: np.zeros(_COUNTS + 2, np.int64)}
-    for r in counts.where("block = ''").select("kind", "data").collect():  # a few numbers for each part of the tables
-        summed[r["kind"]] += np.frombuffer(bytes(r["data"]), "<i8")
-    words, bigrams = summed[WORDS], summed[BIGRAMS]
-    model = Model(words[:_COUNTS].tolist(), bigrams[:_COUNTS].tolist(), int(words[-2]), int(words[-1]), words[:_COUNTS] * np.arange(_COUNTS))
-
-    held, _ = stored(plans.unionByName(counts.where("block != ''")).groupBy("block").applyInArrow(_hits(model), _ROW), "hits", by="kind")
-    del plans, counts
-    discard(spark, plans_path)
-    discard(spark, counts_path)
-    weights = held.where(F.col("kind") == WEIGHTS).groupBy("part").applyInArrow(_weights, _ROW)
+    parts = max(shuffle_partitions(spark), math.ceil(chars / 6 / block_tokens))
+    places, made = hops(parts), []
+    short, first = len(places) == 1, places[0]
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df, path = stored(df, name)
+        made.append(path)
+        return df
+
+    plans, plans_path = stored(docs.select(key, text).mapInArrow(_blocks(block_tokens, order), _ROW), "blocks")
+    blocks = plans.count()
+    # one length after the other: the shuffle of each goes when its answers are stored
+    counts = [kept(exchange(plans.mapInArrow(_questions(k, first, short and k > 1), _ROW), blocks, places, made), f"counts-{k}") for k in range(1, order + 1)]
+    sums = [np.zeros(_COUNTS + 2, np.int64) for _ in counts]
+    for total, table in zip(sums, counts, strict=True):
+        for r in table.where("block = ''").select("data").mapInArrow(_summed, "data binary").collect():  # a few numbers from each task
+            total += np.frombuffer(bytes(r["data"]), "<i8")
+    model = Model([x[:_COUNTS].tolist() for x in sums], int(sums[0][-2]), int(sums[0][-1]))
+
+    whole = plans
+    for table in counts:
+        whole = whole.unionByName(table.where("block != ''"))
+    held, held_path = stored(whole.groupBy("block").applyInArrow(_hits(model, first), _ROW), "hits", by="kind")
+    for path in made:
+        discard(spark, path)
+    made.clear()
+    weights = kept(exchange(held.where(F.col("kind") >= WEIGHT).select(*_SCHEMA.names), blocks, places, made), "weights")
     schema = pa.schema([(key, to_arrow_type(kind)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    tokens = model.tokens
-
-    def finish(table: pa.Table) -> pa.Table:
-        state, answers = {}, {}
-        for k, part, data in zip(table.column("kind").to_pylist(), table.column("part").to_pylist(), table.column("data").to_pylist(), strict=True):
-            if k == STATE:
-                state = pickle.loads(zstandard.ZstdDecompressor().decompress(data))
-            else:
-                answers[part] = data
-        where = unsqueeze(state["part"], "<i4")
-        log = scatter(len(where), where, answers, "<f8")
-        total = state["score"] + np.bincount(unsqueeze(state["document"], "<i4"), log[unsqueeze(state["history"], "<i4")], len(state["tokens"]))
-        columns = [state["keys"], state["held"], state["tokens"], state["known"], np.full(len(total), tokens), state["base"], total]
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-    states = held.where(F.col("kind") == STATE)
-    return states.unionByName(weights).groupBy("block").applyInArrow(finish, f"`{key}` {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    states = held.where(F.col("kind") == STATE).select(*_SCHEMA.names)
+    answered = plans.unionByName(states).unionByName(weights).groupBy("block")
+    out, _ = stored(answered.applyInArrow(_finish(schema, model.tokens, first), f"`{key}` {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores")
+    for path in (*made, plans_path, held_path):
+        discard(spark, path)
+    return out

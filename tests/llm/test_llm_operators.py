@@ -244,37 +244,83 @@ def test_any_text_goes_through_the_token_operators(spark):
     assert all(zlib.crc32(np.array(ids[r.doc_id][256 * r.piece : 256 * r.piece + r.length], "<u4").tobytes()) == r.ids_crc32 for r in ordered)
 
 
-def test_katz_scores(docs, empty):
-    rows = docs.collect()
+def _plain_katz(rows, order):
     tok = [[*words(lower(r.text)), "\n"] for r in rows]
     held = [zlib.crc32(str("null" if r.doc_id is None else r.doc_id).encode()) % 5 == 1 for r in rows]
-    c1 = Counter(w for t, h in zip(tok, held, strict=True) if not h for w in t)
-    c2 = Counter(b for t, h in zip(tok, held, strict=True) if not h for b in zip([" ", *t], t, strict=False))
-    n, v, after = sum(c1.values()), len(c1), Counter()
-    for (h, _), c in c2.items():
-        after[h] += c
-    d1, d2 = (katz.discounts([0] + [sum(x == r for x in c.values()) for r in range(1, 7)]) for c in (c1, c2))
-    factor = lambda d, c: d[c] if c < len(d) else 1.0
+    grams = lambda t, k: zip(*([" "] * (k - 1 - i) + t[: len(t)] if k - 1 - i else t for i in range(k)), strict=False)
+    seen = [Counter(g for t, h in zip(tok, held, strict=True) if not h for g in grams(t, k)) for k in range(1, order + 1)]
+    n, v = sum(seen[0].values()), len(seen[0])
+    cut = [katz.discounts([0] + [sum(x == r for x in c.values()) for r in range(1, 7)]) for c in seen]
     left = 1 - 1 / (n + 1)
-    p1 = {w: left * factor(d1, c) * c / n for w, c in c1.items()}
-    unknown = 1 - sum(p1.values())
-    p2 = {b: left * factor(d2, c) * c / after[b[0]] for b, c in c2.items()}
-    seen, covered = defaultdict(float), defaultdict(float)
-    for (h, w), p in p2.items():
-        seen[h] += p
-        covered[h] += p1[w]
-    weight = lambda h: (1 - seen[h]) / (1 - covered[h]) if h in seen else 1.0
-    for h in list(seen)[:20]:
-        assert seen[h] + weight(h) * (1 - covered[h]) == pytest.approx(1)
+    after = [Counter() for _ in seen]
+    for k in range(order):
+        for g, c in seen[k].items():
+            after[k][g[:-1]] += c
+    direct = [{g: left * (d[c] if c < len(d) else 1.0) * c / after[k][g[:-1]] for g, c in seen[k].items()} for k, d in enumerate(cut)]
+    unknown = 1 - sum(direct[0].values())
+    used, covered = defaultdict(float), defaultdict(float)
+    for k in range(1, order):
+        for g, p in direct[k].items():
+            used[g[:-1]] += p
+            covered[g[:-1]] += direct[k - 1][g[1:]]
+
+    def p(g):
+        if g in direct[len(g) - 1]:
+            return direct[len(g) - 1][g]
+        if len(g) == 1:
+            return unknown
+        h = g[:-1]
+        return ((1 - used[h]) / (1 - covered[h]) if h in used else 1.0) * p(g[1:])
+
+    vocabulary = [*(w for (w,) in seen[0])]
+    for h in [*list(used)[:10], *list(used)[-10:]]:
+        assert sum(p((*h, w)) for w in vocabulary) + (p((*h, "no such word"))) == pytest.approx(1)
     want = Counter()
     for r, t, h in zip(rows, tok, held, strict=True):
-        s = sum(math.log10(p2[b] if b in p2 else weight(b[0]) * p1.get(b[1], unknown)) for b in zip([" ", *t], t, strict=False))
-        base = sum(math.log10((c1[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
-        want[(r.doc_id, h, len(t), sum(w in c1 for w in t), n, f"{base:.6f}", f"{s:.6f}")] += 1
-    for size in (400, 10**6):
-        got = katz.score(docs, block_tokens=size).collect()
-        assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, f"{r.base_score:.6f}", f"{r.score:.6f}") for r in got) == want
-    assert katz.score(empty).count() == 0
+        s = sum(math.log10(p(g)) for g in grams(t, order))
+        base = sum(math.log10((seen[0][w,] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
+        want[(r.doc_id, h, len(t), sum((w,) in seen[0] for w in t), n, f"{base:.6f}", f"{s:.6f}")] += 1
+    return want
+
+
+def _katz_rows(found):
+    return Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, f"{r.base_score:.6f}", f"{r.score:.6f}") for r in found.collect())
+
+
+@pytest.mark.parametrize("order,size,fanout", [(1, 400, 128), (2, 400, 128), (3, 400, 128), (3, 10**6, 128), (3, 300, 3), (4, 500, 4)])
+def test_katz_scores(docs, empty, monkeypatch, order, size, fanout):
+    """Whatever the order, the blocks and the hops: as by plain recursion."""
+    monkeypatch.setattr(katz, "FANOUT", fanout)
+    assert _katz_rows(katz.score(docs, order=order, block_tokens=size)) == _plain_katz(docs.collect(), order)
+    if order == 3 and fanout == 3:
+        assert katz.score(empty).count() == 0
+
+
+def test_katz_writes_rows_in_proportion(monkeypatch):
+    """What blocks and nodes send grows as the blocks do (and a hop more for each FANOUT times as many parts), not as blocks times parts."""
+    monkeypatch.setattr(katz, "FANOUT", 4)
+    rng = np.random.default_rng(1)
+
+    def sent(n):
+        asked, sources, places, total = [], n, katz.hops(n), 0
+        for block in range(n):
+            marks = np.unique(rng.integers(1 << 63, size=400, dtype=np.uint64) * np.uint64(2))
+            asked += katz._asked(str(block), 2, marks, np.ones((1, len(marks)), "<i8"), places[0], False)
+        while True:
+            total += len(asked)
+            if len(places) == 1:
+                return total / len(katz.hops(n))
+            groups, nodes = -(-sources // katz.FANOUT), defaultdict(list)
+            for row in asked:
+                nodes[row[1], zlib.crc32(row[0].encode()) % groups].append(row)
+            asked = []
+            for node, rows in nodes.items():
+                table = katz._rows(rows).append_column("node", [[str(node)] * len(rows)])
+                asked += katz._listed(katz._merged(places[1])(table), "block", "part", "data", "counts", "kind")
+            sources, places = groups, places[1:]
+
+    few, many = sent(16), sent(128)
+    assert many < 1.5 * 8 * few
 
 
 def test_katz_keeps_blocks_of_the_same_content_apart(spark):
