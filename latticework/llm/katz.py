@@ -16,7 +16,7 @@ the order of its questions, so that they need no keys:
 4. tables of backoff weights, back to the blocks that ask;
 5. blocks: the scores.
 
-A block sends to ``FANOUT`` places at most. Where the tables have more parts, these places are nodes that merge what some ``FANOUT`` blocks ask and send
+A block sends to ``FANOUT`` places at most. Where the tables have more parts, these places are nodes that merge what as many blocks ask and send
 on in their turn; answers go back the same way. So the rows that are written grow as the blocks do, at every size.
 
 What is kept between the steps is written to the shared folder, so that a lost executor costs its tasks alone.
@@ -45,7 +45,7 @@ ORDER = 3
 #: Tokens of a block, and of the corpus for each part of the tables.
 BLOCK_TOKENS = 1_000_000
 #: Parts that a block, or a node on the way, sends to. A corpus with more parts is dealt in several hops, so that what is sent grows with the corpus alone.
-FANOUT = 128
+FANOUT = 256
 #: Counts up to this are discounted.
 MOST_DISCOUNTED = 5
 #: No word has these names, as they are white space.
@@ -53,6 +53,8 @@ END, START = b"\n", b" "
 #: Kinds of rows: a block, what a block keeps, counts of n-grams of length k (k), weights of histories of length k (WEIGHT + k), and answers to both (ANSWER more).
 PLAN, STATE, WEIGHT, ANSWER = 0, -1, 100, 1000
 _KEY_BYTES = 6
+#: Masses and logarithms of weights travel as whole numbers of these parts of one: they squeeze well, and their sums don't hang on the order.
+MASS, LOG = 2.0**48, 2.0**34
 _C = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -157,11 +159,10 @@ def place(marks: np.ndarray, parts: int) -> np.ndarray:
 
 
 def hops(parts: int) -> list[int]:
-    """How many places there are at each hop, the parts of the tables last."""
-    out = [parts]
-    while out[0] > FANOUT:
-        out.insert(0, -(-out[0] // FANOUT))
-    return out
+    """How many places there are at each hop, the parts of the tables last. Every hop multiplies them by about the same."""
+    n = next(n for n in count(1) if FANOUT**n >= parts)
+    each = next(f for f in count(1) if f**n >= parts)
+    return [*(each**i for i in range(1, n)), parts]
 
 
 class Block:
@@ -303,11 +304,8 @@ class Asked:
         keys[:, :width] = raw
         self.sizes = [len(r[2]) // width for r in self.rows]
         self.found, self.entry = np.unique(keys.view("<u8").ravel(), return_inverse=True)
-        kept = [unsqueeze(r[3], "<f8" if self.weigh else "<i8").reshape(-1, n) for r, n in zip(self.rows, self.sizes, strict=True)]
-        self.values = np.concatenate(kept, 1)
-        self.sums = np.stack([np.bincount(self.entry, v, len(self.found)) for v in self.values])
-        if not self.weigh:
-            self.sums = np.rint(self.sums).astype(np.int64)
+        self.values = np.concatenate([unsqueeze(r[3], "<i8").reshape(-1, n) for r, n in zip(self.rows, self.sizes, strict=True)], 1)
+        self.sums = np.stack([np.bincount(self.entry, v, len(self.found)) for v in self.values]).astype(np.int64)  # exact up to 2 to the 53
 
     def answers(self, of_found: np.ndarray) -> pa.Table:
         """A row for each question, from the answer for each hash. Of those who have counts of an n-gram, the first gets the mark of its owner (1); who alone has it, even
@@ -320,7 +318,7 @@ class Asked:
             out = (out & ~3) | (out & marks)
         made, at = [], 0
         for (block, part, _, _), n in zip(self.rows, self.sizes, strict=True):
-            made.append((block, part, squeeze(out[at : at + n].astype("<f8" if self.weigh else "<i8")), b"", self.kind + ANSWER))
+            made.append((block, part, squeeze(out[at : at + n].astype("<i8")), b"", self.kind + ANSWER))
             at += n
         return _rows(made)
 
@@ -329,12 +327,17 @@ def _met(table: pa.Table) -> Asked:
     return Asked(_listed(table, "block", "part", "data", "counts"), table.column("kind")[0].as_py())
 
 
+def log_weights(masses: np.ndarray) -> np.ndarray:
+    """Backoff weights, from the masses of what was seen after a history: by its own probabilities, and by those it would have after backing off."""
+    seen, lower = masses / MASS
+    return np.rint(np.log10(np.maximum(1 - seen, 1e-300) / np.maximum(1 - lower, 1e-300)) * LOG).astype(np.int64)
+
+
 def _totals(table: pa.Table) -> pa.Table:
     """Answers of one part of the tables: for counts the total (times 4) with both marks, and the counts of counts in a row without block; for weights their logarithm."""
     met = _met(table)
     if met.weigh:
-        seen, lower = met.sums
-        return met.answers(np.log10(np.maximum(1 - seen, 1e-300) / np.maximum(1 - lower, 1e-300)))
+        return met.answers(log_weights(met.sums))
     total, start = met.sums[0], start_mark(met.kind)
     same = met.found == (start if len(met.rows[0][2]) == 8 * met.sizes[0] else start & np.uint64((1 << 8 * _KEY_BYTES) - 1))
     real = total[~same]
@@ -347,7 +350,7 @@ def _merged(parts: int):
 
     def run(table: pa.Table) -> pa.Table:
         met = _met(table)
-        return _rows(list(_asked(table.column("node")[0].as_py(), met.kind, met.found, met.sums.astype("<f8" if met.weigh else "<i8"), parts, False)))
+        return _rows(list(_asked(table.column("node")[0].as_py(), met.kind, met.found, met.sums.astype("<i8"), parts, False)))
 
     return run
 
@@ -360,7 +363,7 @@ def _returned(parts: int):
         asked = [r for r in rows if r[4] < ANSWER]
         met = Asked([r[:4] for r in asked], asked[0][4])
         got = {part: data for _, part, data, _, kind in rows if kind >= ANSWER}
-        return met.answers(scatter(len(met.found), place(met.found, parts), got, "<f8" if met.weigh else "<i8"))
+        return met.answers(scatter(len(met.found), place(met.found, parts), got, "<i8"))
 
     return run
 
@@ -376,14 +379,14 @@ def exchange(questions: DataFrame, sources: int, places: list[int], made: list[s
         return df
 
     questions = kept(questions, "asked")
-    groups = -(-sources // FANOUT)
+    groups = -(-sources // places[0])  # so many merge in a node that it has as much to send as each of them
     at = questions.withColumn("node", F.concat_ws("-", "kind", "part", F.pmod(F.xxhash64("block"), F.lit(groups))))
     below = kept(exchange(at.groupBy("node").applyInArrow(_merged(places[1]), _ROW), groups, places[1:], made), "answers")
     answers = below.where("block != ''").withColumn("node", F.col("block"))
     return at.unionByName(answers).groupBy("node").applyInArrow(_returned(places[1]), _ROW).unionByName(below.where("block = ''"))
 
 
-def _hits(model: Model, parts: int):
+def _hits(model: Model, parts: int, short: bool):
     """Step 3: from a block and its counts, what its documents have without backoff weights, and the questions for these."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -403,18 +406,16 @@ def _hits(model: Model, parts: int):
             direct.append(p)
             mine = own[k - 1] > 0
             mine[g.start] = False
-            masses = np.stack([np.bincount(g.first[mine], x[mine], len(history)) for x in (p, direct[k - 2][g.shorter])])
+            masses = np.stack([np.bincount(g.first[mine], np.rint(x[mine] * MASS), len(history)) for x in (p, direct[k - 2][g.shorter])]).astype("<i8")
             alone = (known[k - 2] & 2) > 0  # a history that only this block has has all its continuations here, and nobody else asks
             missed = np.zeros(len(history), bool)
             missed[g.first[total[k - 1] == 0]] = True
             asked = np.flatnonzero(~alone & (missed | (masses[0] > 0)))
-            out += _asked(name, WEIGHT + k - 1, history.marks[asked], masses[:, asked].astype("<f8"), parts, False)
-            with np.errstate(divide="ignore"):
-                weight = np.log10(np.maximum(1 - masses[0], 1e-300) / np.maximum(1 - masses[1], 1e-300))
-            place_of = np.full(len(history), -1)
-            place_of[asked] = np.arange(len(asked))
+            out += _asked(name, WEIGHT + k - 1, history.marks[asked], masses[:, asked], parts, short)
+            outside = np.zeros(len(history), bool)
+            outside[asked] = True
             hits.append(total[k - 1] > 0)
-            local.append((np.packbits(place_of >= 0), squeeze(weight[(place_of < 0) & missed]), np.packbits(missed)))
+            local.append((np.packbits(outside), squeeze(log_weights(masses[:, ~outside & missed])), np.packbits(missed)))
         # down from the longest: the first that was seen gives its own probability
         level, at, score = model.order, np.arange(len(block.current)), np.zeros(n)
         while level > 1:
@@ -450,9 +451,9 @@ def _finish(schema: pa.Schema, tokens: int, parts: int):
             outside, own, missed = state["local"][k - 2]
             asked, missed = np.unpackbits(outside, count=len(history)).astype(bool), np.unpackbits(missed, count=len(history)).astype(bool)
             weight = np.zeros(len(history))
-            weight[~asked & missed] = unsqueeze(own, "<f8")
+            weight[~asked & missed] = unsqueeze(own, "<i8") / LOG
             where = np.flatnonzero(asked)
-            weight[where] = scatter(len(where), place(history.marks[where], parts), answers.get(k - 1, {}), "<f8")
+            weight[where] = scatter(len(where), place(history.marks[where], parts), answers.get(k - 1, {}), "<i8") / LOG
             seen = np.unpackbits(state["hits"][k - 2], count=len(g)).astype(bool)
             at = at[~seen[g.ids[at]]]
             total = total + np.bincount(block.document[at], weight[g.first[g.ids[at]]], n)
@@ -498,11 +499,13 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
     whole = plans
     for table in counts:
         whole = whole.unionByName(table.where("block != ''"))
-    held, held_path = stored(whole.groupBy("block").applyInArrow(_hits(model, first), _ROW), "hits", by="kind")
+    held, held_path = stored(whole.groupBy("block").applyInArrow(_hits(model, first, short), _ROW), "hits", by="kind")
     for path in made:
         discard(spark, path)
     made.clear()
     weights = kept(exchange(held.where(F.col("kind") >= WEIGHT).select(*_SCHEMA.names), blocks, places, made), "weights")
+    for k in range(1, order):  # answered
+        discard(spark, f"{held_path}/kind={WEIGHT + k}")
     schema = pa.schema([(key, to_arrow_type(kind)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     states = held.where(F.col("kind") == STATE).select(*_SCHEMA.names)
     answered = plans.unionByName(states).unionByName(weights).groupBy("block")

@@ -310,7 +310,7 @@ def test_katz_writes_rows_in_proportion(monkeypatch):
             total += len(asked)
             if len(places) == 1:
                 return total / len(katz.hops(n))
-            groups, nodes = -(-sources // katz.FANOUT), defaultdict(list)
+            groups, nodes = -(-sources // places[0]), defaultdict(list)
             for row in asked:
                 nodes[row[1], zlib.crc32(row[0].encode()) % groups].append(row)
             asked = []
