@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shared_dir, stored
+from .common import bounded_batches, scratch, stored
 from .fast_ids import token_ids
 from .token_count import vocabulary_path
 
@@ -168,8 +168,8 @@ def read_slots(folder: str, first: int, n: int, length: int = LENGTH, per_shard:
 def materialise(docs: DataFrame, folder: str | None = None, key: str = "doc_id", text: str = "text", path: str | None = None, length: int = LENGTH, seed: int = KEY, per_shard: int = SHARD, wide: bool = False) -> DataFrame:
     """Writes the shards; (key, piece, length, ids_crc32, slot, shard, byte_offset) for every sequence.
 
-    A record is the number of ids and then ``length`` ids (two bytes each, four if ``wide``), padded with 0. Without ``folder`` the shards go to one in
-    the shared folder that is named by the fingerprint, so that another call over the same input finds them. A null or empty text is a sequence of the
+    A record is the number of ids and then ``length`` ids (two bytes each, four if ``wide``), padded with 0. Another call with the same
+    ``folder`` and input writes only what is missing; without ``folder`` the shards go to a new one in the shared folder. A null or empty text is a sequence of the
     end id alone; rows that repeat are written each. An empty table writes nothing. An id that needs more than the two bytes is an error; ``length`` has to fit too.
 
     Texts are read and tokenized twice: first for the number of sequences and a checksum of each input partition (two numbers for each reach the driver), then
@@ -201,7 +201,7 @@ def materialise(docs: DataFrame, folder: str | None = None, key: str = "doc_id",
         starts[part], total = total, total + n
     settings = [os.path.basename(path), length, seed, per_shard, wide, END_ID]
     fingerprint = xxhash.xxh3_128_hexdigest(json.dumps([settings, [list(p) for p in parts if p[1]]]))
-    folder = folder or f"{shared_dir(spark).rstrip('/')}/latticework/shards-{fingerprint}"
+    folder = folder or scratch(spark, "shards")
     order = Feistel(max(1, total), seed)
     made = pa.schema([("shard", pa.int32()), ("slot", pa.int64()), ("k", to_arrow_type(kind)), ("piece", pa.int32()), ("ids", pa.binary())])
 
