@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from .ordering import numbered
 
 # What is hashed, in order; the link of the first event.
 SEALED = ("id", "ts", "actor", "role", "org", "verb", "object", "pair", "note", "code", "source", "prev")
@@ -20,40 +27,55 @@ def digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def _chained(log: str, schema: StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Folds batches that come in the order of their logs; what is carried from row to row is the log and its last hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, last = object(), GENESIS
+        for batch in batches:
+            prevs, hashes = [], []
+            for name, head in zip(batch.column(log).to_pylist(), batch.column("_head").to_pylist(), strict=True):
+                if name != current:
+                    current, last = name, GENESIS
+                prevs.append(last)
+                last = hashlib.sha256(f'{head[:-1]},"{last}"]'.encode()).hexdigest()
+                hashes.append(last)
+            kept = [batch.column(f.name) for f in schema.fields[:-2]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(prevs, pa.string()), pa.array(hashes, pa.string())], names=schema.names)
+
+    return run
+
+
 def seal(events: DataFrame, log: str, order: str) -> DataFrame:
     """Adds ``prev`` and ``hash``: every event carries the hash of the one before it in its log.
 
-    The chain is sequential by its nature, so a log is folded in one task; different logs are folded side by side.
+    A chain is sequential by its nature: a log lies in one partition, sorted (which spills), and one pass over Arrow batches carries the last hash on, so that
+    the work is linear in the events and memory is a batch. Different logs run side by side. Events of equal order are taken in the order of their text.
     """
     fields = [f for f in SEALED if f != "prev"]
-    row = F.struct(F.col(order).alias("o"), *[F.col(f).cast("string").alias(f) for f in fields])
-    texts = lambda e, prev: F.to_json(F.array(*[e[f] for f in fields], prev))
-    empty = F.array().cast("array<struct<o:bigint,prev:string,hash:string>>")
-
-    def step(done: Column, e: Column) -> Column:
-        prev = F.coalesce(F.try_element_at(done, F.lit(-1)).hash, F.lit(GENESIS))
-        return F.concat(done, F.array(F.struct(e.o.cast("long").alias("o"), prev.alias("prev"), digest(texts(e, prev)).alias("hash"))))
-
-    sealed = events.groupBy(log).agg(F.sort_array(F.collect_list(row)).alias("_rows")).select(F.col(log).alias("_log"), F.explode(F.aggregate("_rows", empty, step)).alias("s"))
-    joined = events.join(sealed, (F.col(log) == F.col("_log")) & (F.col(order) == F.col("s.o")))
-    return joined.select(*events.columns, F.col("s.prev").alias("prev"), F.col("s.hash").alias("hash"))
+    schema = StructType([*events.schema.fields, StructField("prev", StringType()), StructField("hash", StringType())])
+    heads = events.withColumn("_head", F.to_json(F.array(*[F.col(f).cast("string") for f in fields])))
+    return heads.repartition(log).sortWithinPartitions(log, order, "_head").mapInArrow(_chained(log, schema), schema)
 
 
 def verify(events: DataFrame, log: str, order: str) -> DataFrame:
     """(log, ok, checked, broken_at, reason, trimmed), a row for each log; broken_at counts from 0, -1 if nothing is broken.
 
-    Each event is hashed by itself and compared with its neighbour. A log whose head was trimmed is legal.
+    Each event is hashed where it lies; then the seals alone are numbered by range and joined with their neighbours by log and number, so that a log of any size
+    is checked by many tasks. A log whose head was trimmed is legal.
     """
-    w = Window.partitionBy(log).orderBy(order)
-    rows = events.withColumn("_i", F.row_number().over(w) - 1).withColumn("_before", F.lag("hash").over(w)).withColumn("_own", digest(canonical()))
+    seals = events.select(F.col(log).alias("_log"), F.col(order).alias("_o"), "prev", "hash", (digest(canonical()) == F.col("hash")).alias("_holds"))
+    rows = numbered(seals, ["_log"], [F.col("_o"), F.col("hash")], "_n").withColumn("_i", F.col("_n") - 1)
+    before = rows.select(F.col("_log").alias("_l"), F.col("_n").alias("_m"), F.col("hash").alias("_before"))
+    linked = rows.join(before, F.col("_log").eqNullSafe(F.col("_l")) & (F.col("_i") == F.col("_m")), "left")
     reason = (
         F.when(F.coalesce("hash", F.lit("")) == "", "an event has no seal")
         .when((F.col("_i") > 0) & ~F.col("prev").eqNullSafe(F.col("_before")), "the link to the event before is broken")
-        .when(F.col("_own") != F.col("hash"), "the event was changed after it was sealed")
+        .when(~F.col("_holds"), "the event was changed after it was sealed")
     )
-    found = rows.withColumn("_why", reason).groupBy(log).agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("_why").isNotNull(), F.struct("_i", "_why"))).alias("b"), F.max(F.when(F.col("_i") == 0, F.col("prev"))).alias("head"))
+    found = linked.withColumn("_why", reason).groupBy("_log").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("_why").isNotNull(), F.struct("_i", "_why"))).alias("b"), F.max(F.when(F.col("_i") == 0, F.col("prev"))).alias("head"))
     ok = F.col("b").isNull()
-    return found.select(log, ok.alias("ok"), F.when(ok, F.col("n")).otherwise(F.col("b._i")).cast("long").alias("checked"), F.coalesce("b._i", F.lit(-1)).cast("long").alias("broken_at"), F.coalesce("b._why", F.lit("")).alias("reason"), (ok & (F.coalesce("head", F.lit("")) != GENESIS)).alias("trimmed"))
+    return found.select(F.col("_log").alias(log), ok.alias("ok"), F.when(ok, F.col("n")).otherwise(F.col("b._i")).cast("long").alias("checked"), F.coalesce("b._i", F.lit(-1)).cast("long").alias("broken_at"), F.coalesce("b._why", F.lit("")).alias("reason"), (ok & (F.coalesce("head", F.lit("")) != GENESIS)).alias("trimmed"))
 
 
 def allowed(action: Column, role: Column, org: Column, target: dict[str, Column]) -> Column:
@@ -126,7 +148,7 @@ def replay(events: DataFrame, pairs: DataFrame, order: str) -> DataFrame:
 
 def state_digest(state: DataFrame) -> DataFrame:
     """One hash of all decisions: of the sorted hashes of 4096 parts, so that no task sees them all."""
-    rows = state.select(F.to_json(F.struct(F.col("pair").cast("string"), "state")).alias("j"), F.substring(F.sha2(F.col("pair").cast("string").cast("binary"), 256), 1, 3).alias("part"))
+    rows = state.select(F.to_json(F.struct(F.col("pair").cast("string").alias("pair"), "state")).alias("j"), F.substring(F.sha2(F.col("pair").cast("string").cast("binary"), 256), 1, 3).alias("part"))
     parts = rows.groupBy("part").agg(digest(F.array_join(F.sort_array(F.collect_list("j")), ",")).alias("h"))
     return parts.agg(digest(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "h"))), lambda p: p.h), ",")).alias("digest"), F.count(F.lit(1)).alias("parts"))
 

@@ -47,6 +47,11 @@ def audit_seals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log(spark, sf_dir).withColumn("prev", F.lit(governance.GENESIS)).select("id", governance.digest(governance.canonical()).alias("hash"))
 
 
+def audit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event with its link and its seal, logs sealed as chains."""
+    return governance.seal(log(spark, sf_dir), "log", "seq").select("id", "log", "prev", "hash")
+
+
 def audit_seal_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logs sealed as chains; in every fourth, one event is changed afterwards."""
     sealed = governance.seal(log(spark, sf_dir), "log", "seq")
@@ -97,6 +102,26 @@ def cluster_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.cluster_metrics(found, _truth(spark, sf_dir), "record_id", item_key())
 
 
+def chain_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of the clusters that scores give."""
+    return evaluation.cluster_metrics(m.clusters(spark, sf_dir).select("record_id", "cluster"), _truth(spark, sf_dir), "record_id", item_key())
+
+
+def dev_test_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of the parts whose descriptions' hashes make them dev or test."""
+    open_pairs = m.scored(spark, sf_dir).where("blocked_by is null").select("a", "b", "final")
+    return evaluation.dev_test_metrics(open_pairs, _truth(spark, sf_dir).withColumn("split", labels.split_of(F.col("description"))), "record_id", item_key(), "split")
+
+
+def trap_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs merged automatically though their items differ in exactly one veto field."""
+    open_pairs = m.scored(spark, sf_dir).where("blocked_by is null").select("a", "b", "final")
+    item = F.concat_ws("|", *[F.col(c).cast("string") for c in item_key()])
+    named = parts(spark, sf_dir).select("record_id", item.alias("item"))
+    t = trap_pairs(spark, sf_dir).join(named.select(F.col("record_id").alias("a"), F.col("item").alias("x")), "a").join(named.select(F.col("record_id").alias("b"), F.col("item").alias("y")), "b")
+    return evaluation.merged_traps(open_pairs, parts(spark, sf_dir), "record_id", item, t.select("x", "y").distinct())
+
+
 def trap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of parts that differ in exactly one veto field."""
     p = parts(spark, sf_dir)
@@ -120,7 +145,7 @@ def error_bound_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def error_bound_general(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = table(spark, sf_dir, "labels").groupBy("quality").agg(F.sum("toxic").alias("wrong"), F.count(F.lit(1)).alias("n"))
-    return evaluation.error_bound(counts, "wrong", "n")
+    return evaluation.error_bound(counts, "wrong", "n").withColumn("bound", half_up("bound", 6))
 
 
 def baseline_threshold_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,7 +251,7 @@ def review_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        audit_seals, audit_seal_verify, audit_replay, consent_refusals, disputes, state_digest, permissions, pair_metrics_sweep, split_metrics, cluster_metrics, trap_pairs, veto_accuracy, error_bound_zero, error_bound_general,
+        audit_seals, audit_chain, audit_seal_verify, audit_replay, consent_refusals, disputes, state_digest, permissions, pair_metrics_sweep, split_metrics, dev_test_metrics, cluster_metrics, chain_metrics, trap_pairs, trap_merges, veto_accuracy, error_bound_zero, error_bound_general,
         baseline_threshold_pick, tfidf_cosine, fuzzy_ratio, label_kappa, label_report, label_disagreements, line_mining_rank, mined_lines, lexical_jaccard_pairs, near_miss_pairs, catalogue_search, company_rollup, category_rollup, price_spread,
         refusals_by_rule, migration_export, review_records, review_metrics,
     )
@@ -328,3 +353,45 @@ SELECT count(*) AS records, count(*) FILTER (has) AS with_match, {R("count(*) FI
        list_sort(list(n))[count(*) // 2 + 1] AS median_candidates FROM p""",
 }
 ORACLE_SQL["mined_lines"] = ORACLE_SQL["line_mining_rank"].replace("WHERE score >= 2) SELECT score, doc_id, pos FROM", "WHERE score >= 1) SELECT score, doc_id, pos, row_number() OVER (ORDER BY score DESC, doc_id, pos) AS rank FROM")
+ORACLE_SQL["audit_chain"] = (
+    f"WITH RECURSIVE {LOG}, "
+    + f"""heads AS (SELECT log, id, row_number() OVER (PARTITION BY log ORDER BY seq) AS i, {_JSON.replace(", to_json(repeat('0', 64))) || ']'", ")")} AS head FROM log),
+sealed(log, id, i, prev, hash) AS (
+  SELECT log, id, i, repeat('0', 64), sha256(head || ',"' || repeat('0', 64) || '"]') FROM heads WHERE i = 1
+  UNION ALL SELECT h.log, h.id, h.i, s.hash, sha256(h.head || ',"' || s.hash || '"]') FROM sealed s JOIN heads h ON h.log = s.log AND h.i = s.i + 1)
+SELECT id, log, prev, hash FROM sealed"""
+)
+ORACLE_SQL["state_digest"] = (
+    _STATE
+    + """, j AS (SELECT pair, '{"pair":' || to_json(pair) || ',"state":"' || CASE verb WHEN 'ACCEPT' THEN 'LINKED' ELSE 'APART' END || '"}' AS j FROM r),
+p AS (SELECT substr(sha256(pair), 1, 3) AS part, sha256(string_agg(j, ',' ORDER BY j)) AS h FROM j GROUP BY ALL) SELECT sha256(string_agg(h, ',' ORDER BY part)) AS digest, count(*) AS parts FROM p"""
+)
+ORACLE_SQL["chain_metrics"] = (
+    m.CHAIN
+    + f""", c AS (SELECT cluster, {_CODE} AS item FROM members),
+i AS (SELECT count(*) AS clusters, count(*) FILTER (k > 1) AS impure_clusters FROM (SELECT cluster, count(DISTINCT item) AS k FROM c GROUP BY cluster)),
+f AS (SELECT count(*) AS true_items, count(*) FILTER (k > 1) AS fragmented_items, sum(n)::BIGINT AS records FROM (SELECT item, count(DISTINCT cluster) AS k, count(*) AS n FROM c GROUP BY item))
+SELECT records, clusters, true_items, impure_clusters, fragmented_items, {R("(records - clusters)::DOUBLE / records", 4)} AS duplication_found, {R("(records - true_items)::DOUBLE / records", 4)} AS duplication_true FROM i, f"""
+)
+ORACLE_SQL["dev_test_metrics"] = (
+    m._HEAD
+    + f""", sp AS (SELECT *, CASE WHEN substr(sha1(regexp_replace(upper(description), '[^A-Z0-9]', '', 'g')), 2, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') THEN 'dev' ELSE 'test' END AS split FROM parts),
+tp AS (SELECT split, sum(k)::BIGINT AS records, sum(k * (k - 1) // 2)::BIGINT AS true_pairs FROM (SELECT split, count(*) AS k FROM sp GROUP BY split, {m._ITEM}) GROUP BY split),
+h AS (SELECT x.split, count(*) FILTER (final >= 0.9) AS auto_merged, count(*) FILTER (final >= 0.9 AND NOT ({_MAT})) AS auto_wrong, count(*) FILTER ({_MAT}) AS k
+  FROM scores JOIN sp x ON x.record_id = a JOIN sp y ON y.record_id = b WHERE blocked_by IS NULL AND final >= 0.7 AND x.split = y.split GROUP BY x.split),
+q AS (SELECT tp.split, records, coalesce(auto_merged, 0) AS auto_merged, coalesce(auto_wrong, 0) AS auto_wrong, coalesce(k, 0) AS k, true_pairs FROM tp LEFT JOIN h ON h.split = tp.split)
+SELECT split, records, auto_merged, auto_wrong, CASE WHEN auto_merged = 0 THEN 1.0 ELSE {R("(auto_merged - auto_wrong) / auto_merged::DOUBLE", 4)} END AS auto_precision, CASE WHEN true_pairs = 0 THEN 1.0 ELSE {R("k / true_pairs::DOUBLE", 4)} END AS recall, true_pairs FROM q"""
+)
+_ITEM_TEXT = "{0}.category || '|' || {0}.adjective || '|' || {0}.type || '|' || {0}.size"
+ORACLE_SQL["trap_merges"] = (
+    m._HEAD
+    + f""" SELECT a, b, final, least({_ITEM_TEXT.format("x")}, {_ITEM_TEXT.format("y")}) AS item_a, greatest({_ITEM_TEXT.format("x")}, {_ITEM_TEXT.format("y")}) AS item_b
+FROM scores JOIN parts x ON x.record_id = a JOIN parts y ON y.record_id = b WHERE blocked_by IS NULL AND final >= 0.9 AND x.category = y.category AND (x.adjective <> y.adjective)::INT + (x.type <> y.type)::INT + (x.size <> y.size)::INT = 1"""
+)
+ORACLE_SQL["error_bound_general"] = f"""WITH RECURSIVE c AS (SELECT quality, sum(toxic)::BIGINT AS wrong, count(*) AS n FROM labels GROUP BY quality),
+b(quality, wrong, n, low, high, i) AS (
+  SELECT quality, wrong, n, wrong / n::DOUBLE, 1.0::DOUBLE, 0 FROM c
+  UNION ALL SELECT quality, wrong, n, CASE WHEN above THEN mid ELSE low END, CASE WHEN above THEN high ELSE mid END, i + 1 FROM (
+    SELECT *, CASE WHEN mid < 1 THEN list_sum(list_transform(range(wrong + 1), lambda k: exp(lgamma(n + 1.0::DOUBLE) - lgamma(k + 1.0::DOUBLE) - lgamma(n - k + 1.0::DOUBLE) + k * ln(mid) + (n - k) * ln(1 - mid)))) > 1 - 0.95::DOUBLE ELSE false END AS above
+    FROM (SELECT *, (low + high) / 2 AS mid FROM b WHERE i < 60)))
+SELECT quality, wrong, n, {R("CASE WHEN wrong >= n THEN 1.0::DOUBLE WHEN wrong = 0 THEN 1 - pow(1 - 0.95::DOUBLE, 1.0::DOUBLE / n) ELSE high END", 6)} AS bound FROM b WHERE i = 60"""

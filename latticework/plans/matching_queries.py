@@ -9,6 +9,7 @@ from ..functions.numbers import half_up
 from ..functions.numbers import half_up_sql as R
 from ..functions.registry import Field
 from ..operators import blocking, canonical, clustering, gate, procurement, scoring
+from ..operators.storage import cut
 from .procurement_queries import PROCUREMENT, PROFILES
 from .standins import PARTS, PURCHASES, item_key, parts, purchases, table
 
@@ -87,6 +88,29 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.build(records(spark, sf_dir), open_pairs, "record_id", score_missing=lambda p: scored(spark, sf_dir, p))
 
 
+def catalogue_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From candidates to spend in one query, a row for each national code: candidates, scores, clusters, golden price, code, companies, and what was bought."""
+    found = cut(clusters(spark, sf_dir).select("cluster", "record_id", F.col("band").alias("held")))
+    members = records(spark, sf_dir).join(found, "record_id")
+    heads = members.groupBy("cluster").agg(F.min("category").alias("category"), F.min("held").alias("band"), F.count(F.lit(1)).alias("member_count"), F.min("record_id").alias("first_record"), F.count_distinct("cpse").alias("cpse_count"))
+    coded = canonical.assign_codes(heads, F.col("category"), [F.desc("member_count"), F.asc("first_record")])
+    price = canonical.golden_fields(members, "cluster", "record_id").where("field = 'price'").select("cluster", F.col("value").alias("golden_price"), F.col("agreement").alias("price_agreement"))
+    cents = F.floor(F.col("unit_price") * 100 + 0.5) * F.col("qty")  # whole numbers, so that sums agree in any order
+    bought = purchases(spark, sf_dir).groupBy("part").agg(F.sum("qty").alias("qty"), F.sum(cents).alias("cents"))
+    spend = members.join(bought, F.col("record_id") == F.col("part")).groupBy("cluster").agg(F.sum("qty").alias("qty"), F.sum("cents").alias("cents"))
+    out = coded.join(price, "cluster").join(spend, "cluster", "left").fillna(0, ["qty", "cents"])
+    return out.select("national_code", "cluster", "category", "band", "member_count", "cpse_count", "golden_price", "price_agreement", "qty", (F.col("cents") / 100.0).alias("spend"))
+
+
+def chain_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mappings of the codes that clusters get, with the band of the cluster."""
+    found = cut(clusters(spark, sf_dir).select("cluster", "record_id", F.col("band").alias("held")))
+    members = parts(spark, sf_dir).join(found, "record_id").withColumn("band", F.col("held"))
+    heads = members.groupBy("cluster").agg(F.min("category").alias("category"), F.count(F.lit(1)).alias("member_count"), F.min("record_id").alias("first_record"))
+    codes = canonical.assign_codes(heads, F.col("category"), [F.desc("member_count"), F.asc("first_record")]).select("cluster", "national_code")
+    return canonical.mappings(members.join(codes, "cluster"))
+
+
 def golden_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of one item vote on its attributes."""
     members = records(spark, sf_dir).withColumn("cluster", F.concat_ws("|", "category", "adjective", "type"))
@@ -136,7 +160,7 @@ def gate_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.union(shut)
 
 
-QUERIES = {f.__name__: f for f in (blocking_keys, blocking_candidates, blocking_quality, blocking_missed, knn_within_label, spec_outcomes, pair_scores, veto_counts, counterfactual_scores, pair_explanations, clusters, golden_records, national_codes, mappings, gate_verdicts, gate_all_codes, gate_shown)}
+QUERIES = {f.__name__: f for f in (blocking_keys, blocking_candidates, blocking_quality, blocking_missed, knn_within_label, spec_outcomes, pair_scores, veto_counts, counterfactual_scores, pair_explanations, clusters, catalogue_chain, chain_mappings, golden_records, national_codes, mappings, gate_verdicts, gate_all_codes, gate_shown)}
 
 _VALUE = "upper(replace({0}, '_', ' '))"
 _SIZE = "CASE WHEN size = 0 THEN '0.0' ELSE (round_even(size / pow(10.0, floor(log10(abs(size))) - 1), 0) * pow(10.0, floor(log10(abs(size))) - 1))::DOUBLE::VARCHAR END"
@@ -263,3 +287,24 @@ SELECT request, 'candidate' AS list, rn, code, final AS value, NULL::VARCHAR AS
 UNION ALL SELECT request, 'refused', rn, code, {R("text", 6)}, CASE WHEN d_adj THEN 'adjective' WHEN d_type THEN 'type' ELSE 'size' END FROM t WHERE rn <= 4"""
 )
 ORACLE_SQL["gate_all_codes"] = ORACLE_SQL["gate_verdicts"].replace(" HAVING count(*) >= 2", "")
+#: CTEs up to ``coded``: the clusters of ``clusters`` with a national code each.
+CHAIN = (
+    ORACLE_SQL["clusters"][: ORACLE_SQL["clusters"].index("SELECT grp AS cluster, node AS record_id")].rstrip()
+    + f""",
+found AS (SELECT grp AS cluster, node AS record_id, CASE WHEN n = 1 THEN 'single' WHEN mean >= 0.9 THEN 'auto' ELSE 'review' END AS band FROM comp JOIN held USING (grp)),
+members AS (SELECT parts.*, cluster, band FROM parts JOIN found USING (record_id)),
+heads AS (SELECT cluster, min(category) AS category, min(band) AS band, count(*) AS member_count, min(record_id) AS first_record, count(DISTINCT cpse) AS cpse_count FROM members GROUP BY cluster),
+classed AS (SELECT *, CASE category WHEN 'valve' THEN '40141600' ELSE '00000000' END AS unspsc FROM heads),
+coded AS (SELECT *, 'NMC-' || unspsc || '-' || lpad((row_number() OVER (PARTITION BY unspsc ORDER BY member_count DESC, first_record))::VARCHAR, 6, '0') AS national_code FROM classed)"""
+)
+ORACLE_SQL["catalogue_chain"] = (
+    CHAIN
+    + f""",
+votes AS (SELECT cluster, price, count(*) AS k, min(record_id) AS f FROM members GROUP BY ALL),
+voted AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY k DESC, f) AS rn, sum(k) OVER (PARTITION BY cluster) AS total FROM votes),
+bought AS (SELECT part, sum(qty) AS qty, sum(floor(unit_price * 100 + 0.5)::BIGINT * qty) AS cents FROM purchases GROUP BY part),
+spent AS (SELECT cluster, sum(qty)::BIGINT AS qty, sum(cents)::BIGINT AS cents FROM members JOIN bought ON part = record_id GROUP BY cluster)
+SELECT national_code, cluster, category, band, member_count, cpse_count, price::VARCHAR AS golden_price, {R("k::DOUBLE / total", 2)} AS price_agreement, coalesce(qty, 0) AS qty, coalesce(cents, 0) / 100.0::DOUBLE AS spend
+FROM coded JOIN voted USING (cluster) LEFT JOIN spent USING (cluster) WHERE rn = 1"""
+)
+ORACLE_SQL["chain_mappings"] = CHAIN + " SELECT national_code, cpse, source_code, description AS original_description, uom AS original_uom, 'active' AS status, members.band AS band FROM members JOIN coded USING (cluster)"

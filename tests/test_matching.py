@@ -267,3 +267,37 @@ def test_reports(spark):
     total, shown = reports.capped(rows, [F.desc("n")], 2)
     assert total.first().total == 3 and [r.code for r in shown.collect()] == ["N1", "N2"]
     assert reports.demo_pair(spark.createDataFrame([("x", "y")], "a string, b string"), "y", "x").count() == 1
+
+
+def test_seals_carry_on_over_batches_logs_and_nulls(spark):
+    import hashlib
+
+    one = _log(spark)
+    rows = one.unionByName(one.withColumn("log", F.lit(None).cast("string"))).unionByName(one.withColumn("log", F.lit("M")))
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        sealed = governance.seal(rows, "log", "seq").cache()
+        got = sealed.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert len(got) == 18
+    for name in ("L", None, "M"):
+        last = governance.GENESIS
+        for r in sorted((r for r in got if r.log == name), key=lambda r: r.seq):
+            text = json.dumps([r[f] for f in governance.SEALED], ensure_ascii=False, separators=(",", ":"))
+            assert r.prev == last and r.hash == hashlib.sha256(text.encode()).hexdigest()
+            last = r.hash
+    assert sorted((str(r.log), r.ok, r.checked) for r in governance.verify(sealed, "log", "seq").collect()) == [("L", True, 6), ("M", True, 6), ("None", True, 6)]
+
+
+def test_merged_traps_and_splits(spark):
+    truth = spark.createDataFrame([(1, "p", "dev"), (2, "q", "dev"), (3, "p", "dev"), (4, "r", "test")], "id int, item string, split string")
+    pairs = spark.createDataFrame([(1, 2, 0.95), (1, 3, 0.95), (2, 3, 0.8), (3, 4, 0.99)], "a int, b int, final double")
+    hits = evaluation.merged_traps(pairs, truth, "id", F.col("item"), spark.createDataFrame([("q", "p")], "x string, y string")).collect()
+    assert [(r.a, r.b, r.item_a, r.item_b) for r in hits] == [(1, 2, "p", "q")]
+    got = {r.split: r for r in evaluation.dev_test_metrics(pairs, truth, "id", ["item"], "split").collect()}
+    assert (got["dev"].records, got["dev"].auto_merged, got["dev"].auto_wrong, got["dev"].auto_precision, got["dev"].recall, got["dev"].true_pairs) == (3, 2, 1, 0.5, 1.0, 1)
+    assert (got["test"].records, got["test"].auto_merged, got["test"].auto_precision, got["test"].recall) == (1, 0, 1.0, 1.0)
+    copies = spark.createDataFrame([("Gate valve, 2 in",), ("GATE VALVE 2 IN",)], "d string").select(labels.split_of(F.col("d")).alias("s"), labels.split_of(F.col("d"), F.lit(True)).alias("t")).collect()
+    assert copies[0].s == copies[1].s and copies[0].t == "dev"
