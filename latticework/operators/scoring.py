@@ -241,7 +241,8 @@ def score_pairs(pairs: DataFrame, registry: Registry = REGISTRY) -> DataFrame:
     """Scores every pair.
 
     ``pairs`` has a, b and, ending in _a and _b, category, attributes (map of num, str, conf), cpse and, if there are any, contradictions; text (similarity), proc (struct
-    of procurement.procurement_similarity) and perhaps varied. Added: spec, blocked_by, final, uncapped, review_reason, counterfactual.
+    of procurement.procurement_similarity) and perhaps varied. With stated (names of the fields that a record states itself, as extract gives them), a pair that is blocked
+    by a field which both records only derive has no counterfactual, as there is nothing to set. Added: spec, blocked_by, final, uncapped, review_reason, counterfactual.
     """
     c = F.col
     has = set(pairs.columns)
@@ -257,7 +258,8 @@ def score_pairs(pairs: DataFrame, registry: Registry = REGISTRY) -> DataFrame:
     cause = F.struct(F.lit("blocked").alias("kind"), fields.alias("fields"), c("_if.final").alias("score"), c("_f.unverified").alias("capped_by"))
     held = F.struct(F.lit("unverified").alias("kind"), c("spec.unverified").alias("fields"), c("_real.uncapped").alias("score"), none.alias("capped_by"))
     clean = F.lit(True) if flags is None else F.coalesce(F.size(flags) == 0, F.lit(True))
-    counter = F.when(blocked.isNotNull(), F.when(same & (F.size(c("spec.vetoes")) <= MAX_FLIPS), cause)).when((c("_real.uncapped") > c("_real.final")) & (F.size(c("spec.unverified")) > 0) & clean, held)
+    settable = F.size(F.array_except(c("spec.vetoes"), F.array_union(c("stated_a"), c("stated_b")))) == 0 if {"stated_a", "stated_b"} <= has else F.lit(True)
+    counter = F.when(blocked.isNotNull(), F.when(same & (F.size(c("spec.vetoes")) <= MAX_FLIPS) & F.coalesce(settable, F.lit(True)), cause)).when((c("_real.uncapped") > c("_real.final")) & (F.size(c("spec.unverified")) > 0) & clean, held)
     # checkpointed: scores are read more than once, and a filter on them must not be pushed into these expressions
     return cut(
         made.withColumn("counterfactual", counter)

@@ -88,4 +88,11 @@ WHERE (x.class <> y.class)::INT + (x.grade <> y.grade)::INT = 1""",
     "event_sessions": """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM g), n AS (SELECT user_id, s, count(*) AS n FROM s GROUP BY ALL) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM n GROUP BY user_id""",
 }
-
+ORACLE_SQL["generate_universe"] = f"""WITH {_UNIVERSE} SELECT item_id, size, class, grade, face, CASE WHEN substr(sha1('class=' || class || '|grade=' || grade || '|size=' || size), 1, 2) < 'c0' THEN 'dev' ELSE 'test' END AS split FROM named"""
+_EQUAL = ", ".join(f"('{grades.standard_key(a)}', '{rel}', '{grades.standard_key(b)}')" for a, rel, b, _ in grades.EQUIVALENCE)
+ORACLE_SQL["standards_equivalence"] = f"""WITH RECURSIVE e(a, rel, b) AS (VALUES {_EQUAL}), names AS (SELECT a AS n FROM e UNION SELECT b FROM e),
+steps(n, t) AS (SELECT n, n FROM names UNION SELECT n, b FROM steps JOIN e ON e.a = t AND rel = 'SUPERSEDED_BY'), today AS (SELECT n, t FROM steps WHERE t NOT IN (SELECT a FROM e WHERE rel = 'SUPERSEDED_BY')),
+links AS (SELECT a, b FROM e WHERE rel = 'IDENTICAL' UNION SELECT b, a FROM e WHERE rel = 'IDENTICAL'), same(x, y) AS (SELECT n, n FROM names UNION SELECT x, b FROM same JOIN links ON links.a = y),
+near AS (SELECT a, b FROM e WHERE rel = 'NEAREST' UNION SELECT b, a FROM e WHERE rel = 'NEAREST')
+SELECT p.n AS x, q.n AS y, CASE WHEN same.x IS NULL THEN 'NEAREST' WHEN p.t <> p.n OR q.t <> q.n THEN 'SUPERSEDED' ELSE 'IDENTICAL' END AS relation
+FROM today p JOIN today q ON p.n <> q.n LEFT JOIN same ON same.x = p.t AND same.y = q.t LEFT JOIN near ON near.a = p.t AND near.b = q.t WHERE same.x IS NOT NULL OR near.a IS NOT NULL"""

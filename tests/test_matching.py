@@ -301,3 +301,14 @@ def test_merged_traps_and_splits(spark):
     assert (got["test"].records, got["test"].auto_merged, got["test"].auto_precision, got["test"].recall) == (1, 0, 1.0, 1.0)
     copies = spark.createDataFrame([("Gate valve, 2 in",), ("GATE VALVE 2 IN",)], "d string").select(labels.split_of(F.col("d")).alias("s"), labels.split_of(F.col("d"), F.lit(True)).alias("t")).collect()
     assert copies[0].s == copies[1].s and copies[0].t == "dev"
+
+
+def test_no_counterfactual_for_a_field_that_both_records_only_derive(spark):
+    b = FULL["bearing"]
+    pair = ("bearing", b, b | attrs(bore_mm=75))
+    names = lambda *x: F.array(*map(F.lit, x))
+    (derived,) = scores(spark, pair, stated_a=names("iso_designation"), stated_b=names("iso_designation"))
+    (stated,) = scores(spark, pair, stated_a=names("iso_designation"), stated_b=names("bore_mm"))
+    assert derived.blocked_by == stated.blocked_by == "bore_mm" and derived.counterfactual is None and stated.counterfactual.fields == ["bore_mm"]
+    (r,) = extract.extract(spark.createDataFrame([("PIPE, BLK, CS, FE410, ERW, 100 NB",)], "description string")).collect()
+    assert "nominal_size_in" in r.stated and "od_mm" not in r.stated and "od_mm" in r.attributes
