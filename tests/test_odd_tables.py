@@ -25,7 +25,7 @@ def agrees(spark, folder, name):
     return rows
 
 
-@pytest.mark.parametrize("name", ["mined_lines"])
+@pytest.mark.parametrize("name", ["line_mining_rank", "mined_lines"])
 def test_a_letter_is_one_letter_in_upper_case(spark, tmp_path, name):
     texts = ["Order 12, Straße", "Order 12, Strasse", "order 12, strae", "order 34, ﬁn", "order 34, fin", "order 34, n", "IDIOẗ 5, 6"]
     duckdb.sql("SELECT unnest(?) AS doc_id, unnest(?) AS text", params=[list(range(len(texts))), texts]).write_parquet(str(tmp_path / "documents.parquet"))
