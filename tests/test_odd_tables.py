@@ -30,3 +30,36 @@ def test_a_letter_is_one_letter_in_upper_case(spark, tmp_path, name):
     texts = ["Order 12, Straße", "Order 12, Strasse", "order 12, strae", "order 34, ﬁn", "order 34, fin", "order 34, n", "IDIOẗ 5, 6"]
     duckdb.sql("SELECT unnest(?) AS doc_id, unnest(?) AS text", params=[list(range(len(texts))), texts]).write_parquet(str(tmp_path / "documents.parquet"))
     assert sum(agrees(spark, tmp_path, name).values()) >= 4
+
+
+@pytest.fixture(scope="module")
+def copies(tmp_path_factory):
+    """The smallest tables, parts, suppliers and line items 20 times with keys of their own."""
+    folder = tmp_path_factory.mktemp("copies")
+    for name in ("region", "nation"):
+        duckdb.sql(f"SELECT * FROM '{SF}/{name}.parquet'").write_parquet(str(folder / f"{name}.parquet"))
+    shifts = {"part": {"p_partkey": 200}, "supplier": {"s_suppkey": 10}, "lineitem": {"l_orderkey": 1500, "l_partkey": 200, "l_suppkey": 10}}
+    for name, keys in shifts.items():
+        moved = ", ".join(f"({k} + i * {by})::BIGINT AS {k}" for k, by in keys.items())
+        duckdb.sql(f"SELECT t.* REPLACE ({moved}) FROM '{SF}/{name}.parquet' t, range(20) r(i)").write_parquet(str(folder / f"{name}.parquet"))
+    return folder
+
+
+def test_scores_of_copies_leave_no_row_for_each_pair_behind(spark, copies, monkeypatch):
+    from latticework.operators import blocking, scoring
+    from latticework.plans import matching_queries
+
+    kept = []
+
+    def counted(df, cut=blocking.cut):
+        kept.append(cut(df))
+        return kept[-1]
+
+    for module in (blocking, scoring, matching_queries):
+        monkeypatch.setattr(module, "cut", counted)
+    pairs = sum(agrees(spark, copies, "pair_scores").values())
+    assert max(df.count() for df in kept) < pairs
+
+
+def test_candidates_of_copies(spark, copies):
+    assert agrees(spark, copies, "blocking_candidates")
