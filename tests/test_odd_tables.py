@@ -63,3 +63,24 @@ def test_scores_of_copies_leave_no_row_for_each_pair_behind(spark, copies, monke
 
 def test_candidates_of_copies(spark, copies):
     assert agrees(spark, copies, "blocking_candidates")
+
+
+def test_fuzzy_ratio_reads_two_texts_once(spark, copies, monkeypatch):
+    from difflib import SequenceMatcher
+
+    from latticework.operators import evaluation
+    from latticework.plans.procurement_queries import twin_pairs
+    from latticework.plans.standins import parts
+
+    met = []
+
+    def counted(pairs, x, y, ratio=evaluation.fuzzy_ratio):
+        met.append(pairs)
+        return ratio(pairs, x, y)
+
+    monkeypatch.setattr(evaluation, "fuzzy_ratio", counted)
+    got = {(r.a, r.b): r.fuzzy for r in QUERIES["fuzzy_ratio"](spark, str(copies)).collect()}
+    assert set(got) == {(r.a, r.b) for r in twin_pairs(spark, str(copies)).select("a", "b").collect()}
+    assert met[0].count() * 10 < len(got)
+    text = {r.record_id: r.description.lower() for r in parts(spark, str(copies)).collect()}
+    assert all(abs(got[a, b] - SequenceMatcher(None, text[a], text[b], autojunk=False).ratio()) < 6e-5 for a, b in list(got)[:500])
