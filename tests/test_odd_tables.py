@@ -84,3 +84,22 @@ def test_fuzzy_ratio_reads_two_texts_once(spark, copies, monkeypatch):
     assert met[0].count() * 10 < len(got)
     text = {r.record_id: r.description.lower() for r in parts(spark, str(copies)).collect()}
     assert all(abs(got[a, b] - SequenceMatcher(None, text[a], text[b], autojunk=False).ratio()) < 6e-5 for a, b in list(got)[:500])
+
+
+def test_tfidf_weighs_a_text_once(spark, copies, monkeypatch):
+    from latticework.operators import evaluation
+    from latticework.plans.procurement_queries import twin_pairs
+    from latticework.plans.standins import parts
+
+    met = []
+
+    def counted(docs, *args, vectors=evaluation.tfidf_vectors, **named):
+        met.append(docs)
+        return vectors(docs, *args, **named)
+
+    monkeypatch.setattr(evaluation, "tfidf_vectors", counted)
+    got = {(r.a, r.b): r.tfidf for r in QUERIES["tfidf_cosine"](spark, str(copies)).collect()}
+    assert met[0].count() <= 200  # of 4000 parts
+    monkeypatch.undo()
+    each = evaluation.tfidf_scores(twin_pairs(spark, str(copies)), evaluation.tfidf_vectors(parts(spark, str(copies)), "record_id", "description"), "record_id")
+    assert got == {(r.a, r.b): r.tfidf for r in each.collect()}
